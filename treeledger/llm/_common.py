@@ -19,7 +19,16 @@ from pyspark.sql import types as T
 DEFAULT_SHARED = "file:///tmp/checkpoints"
 
 
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver did, besides their own path."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -5,8 +5,15 @@ one of 256 logarithmic levels. Samples are banded; candidates are verified by we
 classes are the connected components of the verified links.
 
 Exact copies (equal words) are one text from the start. In each bucket every text is first compared with
-the bucket's leader; whatever pair of a bucket is then still in different classes is compared as well, so
-no link that banding proposes is lost, and no pairs are made within a class.
+the bucket's leader, and what is then outside of the bucket's largest class with LEADERS texts of that
+class. The texts of buckets that still hold several classes meet in a second, exact way: a prefix filter.
+Texts of similarity t overlap in t of the heavier text's weight and 2t / (1 + t) of the lighter one's, so
+they share a shingle that is among the rarest (1 - t) of the former and (1 - t) / (1 + t) of the latter; only
+texts of different classes that do are compared. Thus no link is lost, no pairs are made within a class, and
+texts that merely share frequent passages do not meet.
+
+Before sets are compared, one byte of each sample is: pairs with fewer than LIKELY equal bytes, which at
+similarity 0.8 happens to two in a hundred thousand, are not sent the sets.
 """
 
 from __future__ import annotations
@@ -27,8 +34,16 @@ BANDS, ROWS = 14, 5
 #: Document frequencies are counted in a sketch of so many cells, less the mean load of a cell. Its size is
 #: fixed, and so is what is broadcast (one byte per cell).
 CELL_BITS = 20
+#: Texts of a bucket that those of other classes are compared with, and how often this is repeated.
+LEADERS, ROUNDS = 8, 2
+#: Least number of equal samples (by one byte each) of a pair that is verified.
+LIKELY = 42
 #: Levels per doubling of a weight.
-PER_DOUBLING = 8
+PER_DOUBLING = 16
+#: A shingle that no other document has weighs more than one that all have by this share. In a group of
+#: thousands of near copies what they share is frequent and what sets them apart is rare, so a larger share
+#: would push copies of plain similarity over 0.8 below it.
+IDF_SHARE = 0.15
 _SEED = 20240229
 
 
@@ -47,11 +62,11 @@ def _cells(h: np.ndarray) -> np.ndarray:
 
 
 def idf_levels(df: np.ndarray, n_docs: int) -> np.ndarray:
-    """Level of the inverse document frequency of each cell: 1 + log((N + 1) / (df + 1)) / log(N + 1),
-    between 1 and 2, in levels."""
+    """Level of the smoothed inverse document frequency of each cell:
+    1 + IDF_SHARE * log((N + 1) / (df + 1)) / log(N + 2), in levels."""
     load = df.sum() / len(df)
     est = np.clip(df - load, 1, max(1, n_docs))
-    idf = 1 + np.log((n_docs + 1) / (est + 1)) / np.log(n_docs + 2)
+    idf = 1 + IDF_SHARE * np.log((n_docs + 1) / (est + 1)) / np.log(n_docs + 2)
     return np.round(PER_DOUBLING * np.log2(idf)).astype(np.uint8)
 
 
@@ -83,8 +98,8 @@ class Sampler:
             self.t = np.concatenate([self.t, t.astype(np.int32)[None]])
         return self.level_row[levels]
 
-    def band_hashes(self, h: np.ndarray, levels: np.ndarray, block: int = 4096) -> np.ndarray:
-        """One 64-bit hash per band."""
+    def band_hashes(self, h: np.ndarray, levels: np.ndarray, block: int = 4096) -> tuple[np.ndarray, bytes]:
+        """One 64-bit hash per band, and one byte of each sample."""
         row = self._rows(levels)
         flat, t_flat = self.ln_a.reshape(-1), self.t.reshape(-1)
         low, best, win = (h >> np.uint64(32)).astype(np.uint32), None, None
@@ -104,7 +119,7 @@ class Sampler:
         out = np.arange(1, self.bands + 1, dtype=np.uint64)
         for x in s.reshape(self.bands, self.rows).T:
             out = C.mix(out * np.uint64(0xD1342543DE82EF95) + x)
-        return out
+        return out, (s >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
 def weighted_jaccard(a: bytes, la: bytes, b: bytes, lb: bytes) -> float:
@@ -169,26 +184,28 @@ def _unpack(data: bytes) -> np.ndarray:
 
 
 def _signatures(rows: DataFrame, idf) -> DataFrame:
-    """(_id, _text, digest, bands) of every text with words."""
-    schema = pa.schema([("_id", pa.int64()), ("_text", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    """(_id, _text, digest, bands, sketch) of every text with words."""
+    schema = pa.schema([("_id", pa.int64()), ("_text", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def run(batches):
         sampler = Sampler(idf.value)
         for batch in batches:
             for part in C.sub_batches(batch, "t"):
-                at, digests, bands = [], [], []
+                at, digests, bands, sketches = [], [], [], []
                 for k, t in enumerate(C.texts(part, "t")):
                     h, n = shingles(t)
                     if len(h):
                         at.append(k)
                         digests.append(_digest(t))
-                        bands.append(sampler.band_hashes(h, sampler.levels(h, n)).view(np.int64))
+                        keys, sketch = sampler.band_hashes(h, sampler.levels(h, n))
+                        bands.append(keys.view(np.int64))
+                        sketches.append(sketch)
                 rows_at = pa.array(at, pa.int64())
                 flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * BANDS), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(rows_at), part.column(1).take(rows_at), pa.array(digests, pa.binary()), lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows_at), part.column(1).take(rows_at), pa.array(digests, pa.binary()), lists, pa.array(sketches, pa.binary())], schema=schema)
 
-    return rows.mapInArrow(run, "_id long, _text long, digest binary, bands array<long>")
+    return rows.mapInArrow(run, "_id long, _text long, digest binary, bands array<long>, sketch binary")
 
 
 def _sets(rows: DataFrame, idf) -> DataFrame:
@@ -222,6 +239,45 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ha", "la", "hb", "lb").mapInArrow(run, "a binary, b binary")
 
 
+def _likely(pairs: DataFrame, reps: DataFrame, least: int) -> DataFrame:
+    """The pairs whose samples agree often enough."""
+    left = reps.select(F.col("digest").alias("a"), F.col("sketch").alias("sa"))
+    right = reps.select(F.col("digest").alias("b"), F.col("sketch").alias("sb"))
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
+            keep = (x == y).sum(1) >= least
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
+
+
+def _prefixes(sets: DataFrame, rarity, threshold: float) -> DataFrame:
+    """(shingle, digest, short, w, rest): the rarest shingles of each text that make up more than
+    1 - threshold of its weight w, each with the weight from it on; short are those that make up more than
+    (1 - threshold) / (1 + threshold). Any order that all texts share is right; the sketch puts shingles of
+    frequent passages last."""
+
+    def run(batches):
+        order = rarity.value
+        for batch in batches:
+            names, found, short, weights, rest = [], [np.zeros(0, np.int64)], [], [], [np.zeros(0)]
+            for d, h, lv in zip(*(c.to_pylist() for c in batch.columns)):
+                h, w = np.frombuffer(h, "<u8"), _WEIGHTS[np.frombuffer(lv, "u1")]
+                by = np.lexsort((h, order[_cells(h)]))
+                total = np.cumsum(w[by])
+                ends = [min(len(h), int(np.searchsorted(total, share * total[-1] * (1 + 1e-9), "right")) + 1) for share in ((1 - threshold) / (1 + threshold), 1 - threshold)]
+                names += [d] * ends[1]
+                weights += [float(total[-1])] * ends[1]
+                short += [True] * ends[0] + [False] * (ends[1] - ends[0])
+                found.append(h[by[: ends[1]]].view(np.int64))
+                rest.append(total[-1] - total[: ends[1]] + w[by[: ends[1]]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(names, pa.binary()), pa.array(short, pa.bool_()), pa.array(weights, pa.float64()), pa.array(np.concatenate(rest))], names=["shingle", "digest", "short", "w", "rest"])
+
+    return sets.select("digest", "h", "l").mapInArrow(run, "shingle long, digest binary, short boolean, w double, rest double")
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each component, for the nodes that have edges. Labels spread
     along edges and jump to the label of their label; every round is stored in the shared folder."""
@@ -249,37 +305,76 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("_text"), F.coalesce(text, F.lit("")).alias("t"))
     df, n = document_frequencies(rows)
     idf = spark.sparkContext.broadcast(idf_levels(df, n))
+    rarity = spark.sparkContext.broadcast(np.minimum(255, 8 * np.log2(df + 1)).astype(np.uint8))
     signed = C.materialize(_signatures(rows, idf), "near-signatures")
 
-    reps = C.materialize(signed.groupBy("digest").agg(F.min_by(F.struct("_id", "_text"), F.struct(F.col("_id").isNull(), "_id", "_text")).alias("at"), F.first("bands").alias("bands")), "near-texts")
+    reps = signed.groupBy("digest").agg(F.min_by(F.struct("_id", "_text"), F.struct(F.col("_id").isNull(), "_id", "_text")).alias("at"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch"))
+    reps = C.materialize(reps, "near-texts")
     members = C.materialize(reps.select("digest", F.posexplode("bands").alias("band", "bucket")), "near-bands")
-    buckets = C.materialize(members.groupBy("band", "bucket").agg(F.min("digest").alias("leader"), F.max("digest").alias("last")).where("leader != last").select(F.col("band").alias("_band"), F.col("bucket").alias("_bucket"), "leader"), "near-buckets")
+    buckets = members.groupBy("band", "bucket").agg(F.min("digest").alias("leader"), F.max("digest").alias("last")).where("leader != last")
+    buckets = C.materialize(buckets.select(F.col("band").alias("_band"), F.col("bucket").alias("_bucket"), "leader"), "near-buckets")
     in_bucket = (F.col("band") == F.col("_band")) & (F.col("bucket") == F.col("_bucket"))
     shared = C.materialize(members.join(buckets, in_bucket).select("band", "bucket", "digest", "leader"), "near-shared")
 
     wanted = C.materialize(shared.select("digest").distinct().join(reps.select("digest", "at"), "digest").select("digest", F.col("at._id").alias("_i"), F.col("at._text").alias("_x")), "near-wanted")
     same_row = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_x"))
-    sets = C.materialize(_sets(rows.join(wanted, same_row).select("digest", "t").dropDuplicates(["digest"]), idf), "near-sets")
+    sets = C.materialize(_sets(rows.join(wanted, same_row).select("digest", "t"), idf), "near-sets")
+    if sets.count() > wanted.count():  # repeated rows
+        sets = C.materialize(sets.dropDuplicates(["digest"]), "near-sets")
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        likely = C.materialize(_likely(C.materialize(pairs.distinct(), "near-pairs"), reps, LIKELY), "near-likely")
+        return C.materialize(_verify(likely, sets, threshold), "near-links")
+
+    def with_label(places: DataFrame, labels: DataFrame) -> DataFrame:
+        joined = places.select("band", "bucket", "digest").join(labels.withColumnRenamed("node", "digest"), "digest", "left")
+        return C.materialize(joined.withColumn("label", F.coalesce("label", "digest")), "near-named")
 
-    star = C.materialize(shared.where("digest != leader").select(F.col("leader").alias("a"), F.col("digest").alias("b")).distinct(), "near-star")
-    links = C.materialize(_verify(star, sets, threshold), "near-links")
+    links = links_of(shared.where("digest != leader").select(F.col("leader").alias("a"), F.col("digest").alias("b")))
     labels = connected(links)
 
-    named = shared.select("band", "bucket", "digest").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    named = C.materialize(named, "near-named")
-    parts = named.groupBy("band", "bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select(F.col("band").alias("_band"), F.col("bucket").alias("_bucket"))
-    parts = C.materialize(parts, "near-open")
-    open_ = C.materialize(named.join(parts, in_bucket, "left_semi"), "near-open-members")
-    sides = C.materialize(open_.select("band", "bucket", "label").distinct(), "near-open-classes")
-    other = sides.select(F.col("band").alias("_band"), F.col("bucket").alias("_bucket"), F.col("label").alias("other"))
-    across = sides.join(other, in_bucket & (F.col("label") < F.col("other"))).select("band", "bucket", "label", "other")
-    left = open_.select("band", "bucket", "label", F.col("digest").alias("p"))
-    right = open_.select(F.col("band").alias("_band"), F.col("bucket").alias("_bucket"), F.col("label").alias("other"), F.col("digest").alias("q"))
-    rest = across.join(left, ["band", "bucket", "label"]).join(right, in_bucket & (across["other"] == right["other"]))
-    rest = rest.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct().join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = C.materialize(_verify(C.materialize(rest, "near-rest"), sets, threshold), "near-links")
-    if more.limit(1).count():
-        labels = connected(links.union(more))
+    # Buckets of several classes: the others meet the text with most links and some texts of the largest class.
+    open_ = shared.select("band", "bucket", "digest")
+    for _ in range(ROUNDS):
+        named = with_label(open_, labels)
+        sizes = named.groupBy("band", "bucket", "label").agg(F.count("*").alias("n"))
+        mains = sizes.groupBy("band", "bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+        mains = C.materialize(mains.select(F.col("band").alias("_band"), F.col("bucket").alias("_bucket"), "main"), "near-mains")
+        degrees = C.materialize(links.select(F.col("a").alias("digest")).unionAll(links.select("b")).groupBy("digest").agg(F.count("*").alias("degree")), "near-degrees")
+        open_ = named.join(mains, in_bucket).select("band", "bucket", "digest", "label", "main").join(degrees, "digest", "left")
+        open_ = C.materialize(open_, "near-open")
+        who = F.struct("digest", "label")
+        picks = [F.max_by(who, F.struct(F.coalesce("degree", F.lit(0)), "digest"))] + [F.min_by(who, F.struct(F.col("label") != F.col("main"), F.xxhash64("digest", F.lit(k)))) for k in range(LEADERS - 1)]
+        heads = open_.groupBy(F.col("band").alias("_band"), F.col("bucket").alias("_bucket")).agg(F.array_distinct(F.array(*picks)).alias("heads"))
+        heads = C.materialize(heads, "near-heads")
+        met = open_.join(heads, in_bucket).select("digest", "label", F.explode("heads").alias("head")).where("label != head.label")
+        more = links_of(met.select(F.least("digest", "head.digest").alias("a"), F.greatest("digest", "head.digest").alias("b")))
+        if more.isEmpty():
+            break
+        links = C.materialize(links.unionByName(more), "near-links")
+        labels = connected(links)
+
+    # What then still is in buckets of several classes: texts of different classes that share a rare shingle.
+    named = with_label(open_.select("band", "bucket", "digest"), labels)
+    still = named.groupBy("band", "bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select(F.col("band").alias("_band"), F.col("bucket").alias("_bucket"))
+    texts = C.materialize(named.join(C.materialize(still, "near-still"), in_bucket).select("digest", "label").distinct(), "near-rest-texts")
+    rare = _prefixes(sets.join(texts.select("digest"), "digest"), rarity, threshold)
+    rare = C.materialize(rare.join(texts, "digest").select("shingle", "digest", "label", "short", "w", "rest"), "near-rare")
+    met = rare.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("short").alias("any")).where("low != high and any").select(F.col("shingle").alias("_shingle"))
+    rare = C.materialize(rare.join(C.materialize(met, "near-met"), F.col("shingle") == F.col("_shingle")).select("shingle", "digest", "label", "short", "w", "rest"), "near-rare-met")
+    sides = C.materialize(rare.groupBy("shingle", "label").agg(F.max("short").alias("short"), F.min("w").alias("least"), F.max("w").alias("most")), "near-sides")
+    other = sides.select("shingle", F.col("label").alias("other"), F.col("most").alias("heaviest"))
+    across = sides.where("short").join(other, "shingle").where("label != other and least <= heaviest").select("shingle", "label", "other")
+    across = C.materialize(across, "near-across")
+    left = rare.where("short").select(F.col("shingle").alias("_s"), F.col("label").alias("_l"), F.col("digest").alias("p"), F.col("w").alias("wp"), F.col("rest").alias("rp"))
+    right = rare.select(F.col("shingle").alias("_t"), F.col("label").alias("_o"), F.col("digest").alias("q"), F.col("w").alias("wq"), F.col("rest").alias("rq"))
+    # At the first shingle of both, what is left of either must hold the overlap that the threshold asks for.
+    enough = F.least("rp", "rq") >= (F.col("wp") + F.col("wq")) * (threshold / (1 + threshold) * (1 - 1e-9))
+    last = across.join(left, (F.col("shingle") == F.col("_s")) & (F.col("label") == F.col("_l"))).select("_s", "other", "p", "wp", "rp")
+    last = last.join(right, (F.col("_s") == F.col("_t")) & (F.col("other") == F.col("_o")) & enough)
+    last = links_of(last.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")))
+    if not last.isEmpty():
+        labels = connected(links.unionByName(last))
 
     named = signed.select("_id", "_text", "digest").join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("_id", "_text", F.coalesce("label", "digest").alias("label"))
     named = C.materialize(named, "near-members")
