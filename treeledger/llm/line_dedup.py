@@ -105,7 +105,7 @@ def removals(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
     wanted = wanted.distinct().groupBy("_id", "_text").agg(F.collect_list(F.struct("cid", "pos", "first")).alias("places"))
     wanted = C.materialize(wanted, "chunk-wanted").withColumnsRenamed({"_id": "_i", "_text": "_x"})
     same_row = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_x"))
-    found = rows.join(wanted, same_row).select("_id", "_text", "t", "places")
+    found = rows.join(wanted.hint("merge"), same_row).select("_id", "_text", "t", "places")  # one plan at every size
     found = C.materialize(_bytes_of(found), "chunk-bytes")
     kept = found.where("first").dropDuplicates(["cid"]).select(F.col("cid").alias("_cid"), F.col("bytes").alias("_bytes"))
     kept = C.materialize(kept, "chunk-kept")
@@ -124,7 +124,7 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     extra = ["n_lines", "n_removed_lines", "n_removed_chunks"]
     plain, restore = (C.without(docs, extra), None) if added else C.stow(docs, extra)
     gone = removals(docs, doc_id=doc_id, text=text).withColumnsRenamed({"_id": "_i", "_text": "_x", "places": "_places"})
-    joined = plain.withColumn("_text", F.xxhash64(text)).join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_x")), "left").drop("_i", "_x", "_text")
+    joined = plain.withColumn("_text", F.xxhash64(text)).join(gone.hint("merge"), F.col(doc_id).cast("long").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_x")), "left").drop("_i", "_x", "_text")
     schema = C.fields(joined.drop("_places").schema, *joined.limit(0).select(*[F.lit(0).cast("long").alias(c) for c in extra]).schema)
 
     def run(batches):
