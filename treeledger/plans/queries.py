@@ -91,14 +91,19 @@ _add("tree_size", _one(lambda m: m.agg(F.sum("size").alias("bytes"))), "SELECT C
 # --- predicates -----------------------------------------------------------------------------------
 
 _RULES = [("exclude", "/src1/en/"), ("include", "/src1/**"), ("exclude", "*7.txt"), ("exclude", "/src2/*/*.lnk")]
-_DIRS = F.col("path_type") == "DIR"
+
+
+def _dirs():
+    return F.col("path_type") == "DIR"
+
+
 _FIRST = """CASE WHEN regexp_matches(s, '^src1/en/$') THEN false WHEN regexp_matches(s, '^src1/.*/?$') THEN true WHEN regexp_matches(s, '^(?:.*/)?[^/]*7\\.txt/?$') THEN false WHEN regexp_matches(s, '^src2/[^/]*/[^/]*\\.lnk/?$') THEN false ELSE true END"""
 _add("match_prefix", _one(lambda m: m.where(matchers.match_prefix(F.col("path"), ["src1", "src3/en"])).select("path")), "SELECT path FROM m2 WHERE path IN ('src1', 'src3/en') OR starts_with(path, 'src1/') OR starts_with(path, 'src3/en/')")
 _add("match_set", _one(lambda m: m.where(matchers.match_set(F.col("path"), ["src1", "src2", "x"], False)).select("path")), "SELECT path FROM m2 WHERE path NOT IN ('src1', 'src2', 'x')")
 _add("match_or", _one(lambda m: m.where(matchers.match_any(F.col("path") == ".", matchers.match_prefix(F.col("path"), ["moved"]))).select("path")), "SELECT path FROM m2 WHERE path = '.' OR path = 'moved' OR starts_with(path, 'moved/')")
 _add("glob_match", _one(lambda m: m.where(F.col("path").rlike(scalars.glob_regex("/src*/**/*5.txt"))).select("path")), r"SELECT path FROM m2 WHERE regexp_matches(path, '^src[^/]*/.*/[^/]*5\.txt/?$')")
-_add("filter_first_match", _one(lambda m: m.where(matchers.included(F.col("path"), _DIRS, _RULES)).select("path")), f", x AS (SELECT path, CASE WHEN path_type = 'DIR' THEN path || '/' ELSE path END AS s FROM m2) SELECT path FROM x WHERE {_FIRST}".replace("\\\\", "\\"))
-_add("filter_pruned", _one(lambda m: m.where(matchers.included_with_parents(F.col("path"), _DIRS, _RULES)).select("path")), f", x AS (SELECT path, CASE WHEN path_type = 'DIR' THEN path || '/' ELSE path END AS s FROM m2) SELECT path FROM x WHERE {_FIRST} AND NOT starts_with(path, 'src1/en/')".replace("\\\\", "\\"))
+_add("filter_first_match", _one(lambda m: m.where(matchers.included(F.col("path"), _dirs(), _RULES)).select("path")), f", x AS (SELECT path, CASE WHEN path_type = 'DIR' THEN path || '/' ELSE path END AS s FROM m2) SELECT path FROM x WHERE {_FIRST}".replace("\\\\", "\\"))
+_add("filter_pruned", _one(lambda m: m.where(matchers.included_with_parents(F.col("path"), _dirs(), _RULES)).select("path")), f", x AS (SELECT path, CASE WHEN path_type = 'DIR' THEN path || '/' ELSE path END AS s FROM m2) SELECT path FROM x WHERE {_FIRST} AND NOT starts_with(path, 'src1/en/')".replace("\\\\", "\\"))
 _add("match_snapshots", lambda spark, sf: X.snapshots(spark).where(F.col("name").between("2020-01-02", "2020-01-03") & F.col("name").isin("2020-01-02-120000", "2020-01-03-120000")).select("name"), "SELECT name FROM snapshots WHERE name BETWEEN '2020-01-02' AND '2020-01-03' AND name IN ('2020-01-02-120000', '2020-01-03-120000')")
 
 # --- scalars ---------------------------------------------------------------------------------------
