@@ -10,9 +10,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from treeledger.functions import matchers, scalars
-from treeledger.operators import diff, duplicates, planning, series
+from treeledger.operators import diff, duplicates, legacy, merge_rules, planning, series
 from treeledger.schema import MANIFEST
-from treeledger.sources import tree
+from treeledger.sources import messages, tree
 
 
 def row(path, kind="FILE", size=3, sha="a", mtime=1500000000, mode=None, link=None, xattr=None, uid=0, gid=0):
@@ -160,3 +160,41 @@ def test_diff_properties(spark, a, b):
     assert got == want
     stats = diff.diff_stats(tb, ta).first()
     assert (stats.total, stats.mismatched) == (len(a.keys() | b.keys()), len(want))
+
+
+def test_deepest_rule_file_decides(spark):
+    m = table(spark, row(".", "DIR"), row("a", "DIR"), row("a/b", "DIR"), row("a/x.o"), row("a/b/x.o"), row("x.o"), row("a/b/c", "DIR"), row("a/b/c/y"), row("k.o"))
+    files = [(".", "exclude *.o"), ("a", "include *.o\nexclude /b/c/"), ("a/b", "# none\nexclude *.o")]
+    kept = merge_rules.filter_dir_merge(m, spark.createDataFrame(files, "dir string, text string"), before=[("include", "/k.o")])
+    assert sorted(r.path for r in kept.collect()) == [".", "a", "a/b", "a/x.o", "k.o"]
+    assert merge_rules.filter_dir_merge(m, spark.createDataFrame([], "dir string, text string")).count() == 9
+
+
+def test_legacy_sums(spark):
+    files = spark.createDataFrame([("a", "0" * 31 + "1", 1), ("b", "f" * 32, 2), ("c", "f" * 32, 3), ("d", "f" * 32, None), ("tmp/e", "f" * 32, 5)], "path string, md5 string, inode long")
+    sums = spark.createDataFrame([("a", "1"), ("b", "e" * 32), ("c", "0"), ("z", "0")], "path string, checksum string")
+    found = legacy.verify_md5(files, sums, ignore="tmp/", seen=spark.createDataFrame([(3,), (3,), (None,)], "inode long"))
+    assert {r.path: r.outcome for r in found.collect()} == {"a": "ok", "b": "mismatch", "c": "hit", "d": "missing", "tmp/e": "ignored", "z": "unverified"}
+
+
+def test_two_images_of_one_name_are_an_error(spark):
+    names = [("p/2020-01-01-120000.img",), ("p/2020-01-01-120000-manifest.luks.img",), ("p/other.img",)]
+    assert [r.name for r in legacy.list_images(spark.createDataFrame(names[::2], "path string")).collect()] == ["2020-01-01-120000"]
+    with pytest.raises(Exception, match="duplicate checkpoint"):
+        legacy.list_images(spark.createDataFrame(names, "path string")).collect()
+
+
+def test_messages_round_trip(spark, tmp_path):
+    rows = [row(".", "DIR"), row("a\u00e9", sha="0f", size=0, xattr="ab", mtime=-5), row("l", "SYMLINK", link="a"), row("u", sha=None, size=1 << 40)]
+    m = table(spark, *rows)
+    encoded = [bytes(r.message) for r in messages.to_messages(m).collect()]
+    (tmp_path / "m.pbdata").write_bytes(messages.manifest_bytes(encoded))
+    assert sorted(map(tuple, messages.read_messages(spark, str(tmp_path / "m.pbdata")).collect())) == sorted(rows)
+    # path "a", type FILE, mode 33188, spelled by hand
+    assert messages.decode_row(bytes.fromhex("0a0161100118a48302"))[:5] == ("a", "FILE", 33188, 0, 0)
+
+
+def test_attribute_hash(spark):
+    df = spark.createDataFrame([(["user.b", "user.a", "com.apple.macl"], [b"x'", b"\x00", b"q"]), ([], []), (None, None)], "k array<string>, v array<binary>")
+    want = __import__("hashlib").sha256(b"[('user.a', '\\x00'), ('user.b', \"x'\")]").hexdigest()
+    assert [r[0] for r in df.select(messages.xattr_hash(F.col("k"), F.col("v"))).collect()] == [want, None, None]

@@ -27,8 +27,8 @@ def match_any(*conditions: Column) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
 
-def included(path: Column, is_dir: Column, rules: list[tuple[str, str]]) -> Column:
-    """The first rule that matches decides; without one the path is included. Directories match with a
+def first_match(path: Column, is_dir: Column, rules: list[tuple[str, str]]) -> Column:
+    """Whether the first rule that matches includes the path; null without one. Directories match with a
     slash appended."""
     subject, chain = F.when(is_dir, F.concat(path, F.lit("/"))).otherwise(path), None
     for action, pattern in rules:
@@ -36,7 +36,12 @@ def included(path: Column, is_dir: Column, rules: list[tuple[str, str]]) -> Colu
             raise ValueError(action)
         hit = subject.rlike(glob_regex(pattern))
         chain = F.when(hit, action == "include") if chain is None else chain.when(hit, action == "include")
-    return F.lit(True) if chain is None else chain.otherwise(True)
+    return F.lit(None).cast("boolean") if chain is None else chain
+
+
+def included(path: Column, is_dir: Column, rules: list[tuple[str, str]]) -> Column:
+    """The first rule that matches decides; without one the path is included."""
+    return F.coalesce(first_match(path, is_dir, rules), F.lit(True))
 
 
 def included_with_parents(path: Column, is_dir: Column, rules: list[tuple[str, str]]) -> Column:

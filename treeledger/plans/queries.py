@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import itemize, matchers, scalars
-from ..operators import diff, duplicates, planning, series
+from ..operators import diff, duplicates, legacy, merge_rules, planning, series
+from ..sources import messages
 from . import fixtures as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -221,3 +222,49 @@ r AS (SELECT snapshot, path, min(candidate) FILTER (same) AS link_to, bool_or(sa
 _add("dedup_plan", _series(lambda s, n: series.dedup_plan(s, n, least=100)), _dedup_sql(False) + "SELECT * FROM r")
 _add("dedup_older_mtime", _series(lambda s, n: series.dedup_plan(s, n, least=100, older_mtimes=True)), _dedup_sql(True) + "SELECT * FROM r")
 _add("dedup_stats", _series(lambda s, n: series.dedup_stats(s, n, least=100)), _dedup_sql(False) + 'SELECT snapshot, count(*) FILTER (duplicate) AS duplicates, CAST(coalesce(sum(size) FILTER (duplicate), 0) AS BIGINT) AS duplicate_bytes, count(*) FILTER (NOT duplicate) AS "similar" FROM r GROUP BY snapshot')
+
+
+_STORED = "path, path_type, mode, mtime, size, uid, gid, link_dest, sha256, xattr_hash"
+_add("manifest_roundtrip", _one(lambda m: messages.from_messages(messages.to_messages(m)).select(*_STORED.split(", "))), f"SELECT {_STORED} FROM m2")
+
+_RULE_FILES = [(".", "# at the root\nexclude *1.txt\ninclude *.lnk"), ("src1", "exclude *2.txt\ninclude *1.txt"), ("src1/en", "exclude *.lnk\ninclude *2.txt"), ("src2", "exclude /de/")]
+_add(
+    "filter_dir_merge",
+    _one(lambda m: merge_rules.filter_dir_merge(m, m.sparkSession.createDataFrame(_RULE_FILES, "dir string, text string"), before=[("exclude", "*77.txt")]).select("path")),
+    """SELECT path FROM m2 WHERE CASE WHEN path LIKE '%77.txt' THEN false
+  WHEN starts_with(path, 'src1/en/') AND path LIKE '%.lnk' THEN false WHEN starts_with(path, 'src1/en/') AND path LIKE '%2.txt' THEN true
+  WHEN starts_with(path, 'src1/') AND path LIKE '%2.txt' THEN false WHEN starts_with(path, 'src1/') AND path LIKE '%1.txt' THEN true
+  WHEN path = 'src2/de' AND path_type = 'DIR' THEN false WHEN path LIKE '%1.txt' THEN false ELSE true END
+  AND NOT (starts_with(path, 'src2/de/') AND EXISTS (SELECT 1 FROM m2 WHERE path = 'src2/de' AND path_type = 'DIR'))""",
+)
+
+
+def _legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("md5"))
+    files = docs.select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), "md5", F.col("doc_id").alias("inode"))
+    short = F.when(F.col("doc_id") % 5 == 0, F.lit("abc")).otherwise(F.regexp_replace("md5", "^0+", ""))
+    sums = docs.where("doc_id % 7 <> 3").select(F.concat(F.when(F.col("doc_id") % 50 == 0, "gone").otherwise("f"), F.col("doc_id").cast("string")).alias("path"), short.alias("checksum"))
+    return legacy.verify_md5(files, sums, ignore="f.*8$", seen=docs.where("doc_id % 11 = 0").select(F.col("doc_id").alias("inode")))
+
+
+_add(
+    "legacy_verify",
+    _legacy,
+    """SELECT concat('f', CAST(doc_id AS VARCHAR)) AS path, CASE WHEN doc_id % 11 = 0 THEN 'hit' WHEN doc_id % 7 = 3 OR doc_id % 50 = 0 THEN CASE WHEN doc_id % 10 = 8 THEN 'ignored' ELSE 'missing' END
+  WHEN doc_id % 5 = 0 THEN 'mismatch' ELSE 'ok' END AS outcome FROM documents
+  UNION ALL SELECT concat('gone', CAST(doc_id AS VARCHAR)), 'unverified' FROM documents WHERE doc_id % 50 = 0 AND doc_id % 7 <> 3""",
+)
+
+_NAMES = """SELECT concat('backups/2020-01-', lpad(CAST(doc_id % 28 + 1 AS {text}), 2, '0'), '-', lpad(CAST(doc_id % 1000000 AS {text}), 6, '0'), CASE WHEN doc_id % 3 = 0 THEN '-manifest' ELSE '' END,
+  CASE doc_id % 5 WHEN 0 THEN '.img' WHEN 1 THEN '.luks.img' WHEN 2 THEN '.sparseimage' WHEN 3 THEN '.img.bak' ELSE '' END) AS path FROM {docs}"""
+_BASE = r"regexp_extract(path, '/([0-9]{4}-[0-9]{2}-[0-9]{2}-[0-9]{6})(-manifest)?[.](sparseimage|img|luks.img)$', %d)"
+_IMAGES = f", names AS ({_NAMES.format(text='VARCHAR', docs='documents')}), images AS (SELECT path, {_BASE % 1} AS name, {_BASE % 2} <> '' AS manifest_only, {_BASE % 3} AS suffix FROM names WHERE {_BASE % 1} <> '') "
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_NAMES.format(text="STRING", docs="{docs}"), docs=spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id"))
+
+
+_add("parse_checkpoint_name", lambda spark, sf: _names(spark, sf).select("path", *(c.alias(k) for k, c in legacy.parse_image_name(F.col("path")).items())), _IMAGES + "SELECT n.path, i.name, i.manifest_only, i.suffix FROM names n LEFT JOIN images i ON i.path = n.path")
+_add("list_checkpoints", lambda spark, sf: legacy.list_images(_names(spark, sf)), _IMAGES + "SELECT * FROM images")
+_add("checkpoints_to_apply", lambda spark, sf: legacy.images_to_apply(legacy.list_images(_names(spark, sf)).where("NOT manifest_only"), X.snapshots(spark)), _IMAGES + "SELECT * FROM images WHERE NOT manifest_only AND name > (SELECT max(name) FROM snapshots WHERE state = 'DONE')")
