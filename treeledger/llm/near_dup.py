@@ -279,19 +279,20 @@ def _prefixes(sets: DataFrame, rarity, threshold: float) -> DataFrame:
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node of each component, for the nodes that have edges. Labels spread
-    along edges and jump to the label of their label; every round is stored in the shared folder."""
-    both = C.materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
-    labels = C.materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    """(node, label): the smallest node of each component, for the nodes that have edges. Every node takes the
+    smallest label around it (its own among them) and then that label's label of the round before; each round
+    is one query, stored in the shared folder. Its joins are between plain exchanges, so that AQE can split the
+    node or label of a large component. ``edges`` is read each round, so it should be a stored table."""
+    ends = edges.select(F.explode(F.array(*[F.struct(F.col(x).alias("node"), F.col(y).alias("near")) for x in "ab" for y in "ab"])).alias("e")).select("e.*")
+    labels = C.materialize(ends.groupBy("node").agg(F.min("near").alias("label")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        step = C.materialize(step, "labels")
-        jump = step.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        new = C.materialize(step.join(jump, "label", "left").select("node", "old", F.least(F.col("label"), F.coalesce("far", "label")).alias("label")), "labels")
-        if not new.where("old != label").limit(1).count():
-            return new.select("node", "label")
+        around = ends.join(labels.select(F.col("node").alias("near"), "label"), "near")
+        step = around.groupBy("node").agg(F.max(F.when(F.col("node") == F.col("near"), F.col("label"))).alias("old"), F.min("label").alias("label"))
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        new = C.materialize(step.join(jump, "label").select("node", "old", F.col("far").alias("label")), "labels")
         labels = new.select("node", "label")
+        if new.where("old != label").isEmpty():
+            return labels
 
 
 def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -310,7 +311,7 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
 
     reps = signed.groupBy("digest").agg(F.min_by(F.struct("_id", "_text"), F.struct(F.col("_id").isNull(), "_id", "_text")).alias("at"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch"))
     reps = C.materialize(reps, "near-texts")
-    members = C.materialize(reps.select("digest", F.posexplode("bands").alias("band", "bucket")), "near-bands")
+    members = reps.select("digest", F.posexplode("bands").alias("band", "bucket"))
     buckets = members.groupBy("band", "bucket").agg(F.min("digest").alias("leader"), F.max("digest").alias("last")).where("leader != last")
     buckets = C.materialize(buckets.select(F.col("band").alias("_band"), F.col("bucket").alias("_bucket"), "leader"), "near-buckets")
     in_bucket = (F.col("band") == F.col("_band")) & (F.col("bucket") == F.col("_bucket"))
@@ -323,8 +324,7 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
         sets = C.materialize(sets.dropDuplicates(["digest"]), "near-sets")
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        likely = C.materialize(_likely(C.materialize(pairs.distinct(), "near-pairs"), reps, LIKELY), "near-likely")
-        return C.materialize(_verify(likely, sets, threshold), "near-links")
+        return C.materialize(_verify(_likely(pairs.distinct(), reps, LIKELY), sets, threshold), "near-links")
 
     def with_label(places: DataFrame, labels: DataFrame) -> DataFrame:
         joined = places.select("band", "bucket", "digest").join(labels.withColumnRenamed("node", "digest"), "digest", "left")
@@ -340,7 +340,7 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
         sizes = named.groupBy("band", "bucket", "label").agg(F.count("*").alias("n"))
         mains = sizes.groupBy("band", "bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
         mains = C.materialize(mains.select(F.col("band").alias("_band"), F.col("bucket").alias("_bucket"), "main"), "near-mains")
-        degrees = C.materialize(links.select(F.col("a").alias("digest")).unionAll(links.select("b")).groupBy("digest").agg(F.count("*").alias("degree")), "near-degrees")
+        degrees = links.select(F.explode(F.array("a", "b")).alias("digest")).groupBy("digest").agg(F.count("*").alias("degree"))
         open_ = named.join(mains, in_bucket).select("band", "bucket", "digest", "label", "main").join(degrees, "digest", "left")
         open_ = C.materialize(open_, "near-open")
         who = F.struct("digest", "label")
@@ -351,7 +351,7 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
         more = links_of(met.select(F.least("digest", "head.digest").alias("a"), F.greatest("digest", "head.digest").alias("b")))
         if more.isEmpty():
             break
-        links = C.materialize(links.unionByName(more), "near-links")
+        links = links.unionByName(more)  # stored tables, of ROUNDS + 1 at most
         labels = connected(links)
 
     # What then still is in buckets of several classes: texts of different classes that share a rare shingle.
@@ -374,7 +374,7 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
     last = last.join(right, (F.col("_s") == F.col("_t")) & (F.col("other") == F.col("_o")) & enough)
     last = links_of(last.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")))
     if not last.isEmpty():
-        labels = connected(links.unionByName(last))
+        labels = connected(links.unionByName(last))  # two stored tables
 
     named = signed.select("_id", "_text", "digest").join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("_id", "_text", F.coalesce("label", "digest").alias("label"))
     named = C.materialize(named, "near-members")
