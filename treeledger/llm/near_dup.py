@@ -362,16 +362,22 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
     rare = C.materialize(rare.join(texts, "digest").select("shingle", "digest", "label", "short", "w", "rest"), "near-rare")
     met = rare.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("short").alias("any")).where("low != high and any").select(F.col("shingle").alias("_shingle"))
     rare = C.materialize(rare.join(C.materialize(met, "near-met"), F.col("shingle") == F.col("_shingle")).select("shingle", "digest", "label", "short", "w", "rest"), "near-rare-met")
-    sides = C.materialize(rare.groupBy("shingle", "label").agg(F.max("short").alias("short"), F.min("w").alias("least"), F.max("w").alias("most")), "near-sides")
-    other = sides.select("shingle", F.col("label").alias("other"), F.col("most").alias("heaviest"))
-    across = sides.where("short").join(other, "shingle").where("label != other and least <= heaviest").select("shingle", "label", "other")
+    # At the first shingle of both, what is left of either must hold the overlap that the threshold asks for:
+    # the other text weighs at most ``room``. Classes, then texts, then pairs are held to this.
+    room = F.col("rest") / (threshold / (1 + threshold) * (1 - 1e-9)) - F.col("w")
+    rare = rare.withColumn("room", room)
+    short = [F.min(F.when(F.col("short"), F.col("w"))).alias("least"), F.max(F.when(F.col("short"), F.col("room"))).alias("own_room")]
+    sides = rare.groupBy("shingle", "label").agg(F.max("short").alias("short"), *short, F.min("w").alias("lightest"), F.max("w").alias("heaviest"), F.max("room").alias("widest"))
+    sides = C.materialize(sides, "near-sides")
+    other = sides.select("shingle", F.col("label").alias("other"), "lightest", "heaviest", "widest")
+    across = sides.where("short").select("shingle", "label", "least", "own_room").join(other, "shingle")
+    across = across.where("label != other and least <= heaviest and least <= widest and lightest <= own_room").drop("least", "own_room")
     across = C.materialize(across, "near-across")
-    left = rare.where("short").select(F.col("shingle").alias("_s"), F.col("label").alias("_l"), F.col("digest").alias("p"), F.col("w").alias("wp"), F.col("rest").alias("rp"))
-    right = rare.select(F.col("shingle").alias("_t"), F.col("label").alias("_o"), F.col("digest").alias("q"), F.col("w").alias("wq"), F.col("rest").alias("rq"))
-    # At the first shingle of both, what is left of either must hold the overlap that the threshold asks for.
-    enough = F.least("rp", "rq") >= (F.col("wp") + F.col("wq")) * (threshold / (1 + threshold) * (1 - 1e-9))
-    last = across.join(left, (F.col("shingle") == F.col("_s")) & (F.col("label") == F.col("_l"))).select("_s", "other", "p", "wp", "rp")
-    last = last.join(right, (F.col("_s") == F.col("_t")) & (F.col("other") == F.col("_o")) & enough)
+    left = rare.where("short").select(F.col("shingle").alias("_s"), F.col("label").alias("_l"), F.col("digest").alias("p"), F.col("w").alias("wp"), F.col("room").alias("room_p"))
+    right = rare.select(F.col("shingle").alias("_t"), F.col("label").alias("_o"), F.col("digest").alias("q"), F.col("w").alias("wq"), F.col("room").alias("room_q"))
+    some = F.expr("wp <= heaviest and wp <= widest and lightest <= room_p")
+    last = across.join(left, (F.col("shingle") == F.col("_s")) & (F.col("label") == F.col("_l")) & some).select("_s", "other", "p", "wp", "room_p")
+    last = last.join(right, (F.col("_s") == F.col("_t")) & (F.col("other") == F.col("_o")) & F.expr("wp <= wq and wq <= room_p and wp <= room_q"))
     last = links_of(last.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")))
     if not last.isEmpty():
         labels = connected(links.unionByName(last))  # two stored tables
