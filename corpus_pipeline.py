@@ -19,9 +19,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated chunks of lines; their n_chars follows the text that is left."""
+    """Documents without repeated passages of lines; their n_chars follows the text that is left."""
 
-    out = line_dedup.dedup_lines(docs)
+    out = line_dedup.dedup_lines(docs, pairs=True)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

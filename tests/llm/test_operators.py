@@ -203,6 +203,31 @@ def test_line_dedup_against_brute_force(spark):
     assert line_dedup.dedup_lines(empty(d)).count() == 0
 
 
+def test_line_dedup_cuts_repeated_passages_to_their_ends(spark):
+    rng = np.random.default_rng(5)
+    pool = [f"line number {i} of the pool" if i % 7 else "" for i in range(60)]
+    rows = [(i, "\n".join([f"own {i} a", *pool[s : s + m], f"own {i} b", *pool[u : u + 2], f"own {i} c"])) for i, (s, m, u) in enumerate(zip(rng.integers(0, 50, 50).tolist(), rng.integers(2, 9, 50).tolist(), rng.integers(0, 58, 50).tolist()))] + [(90, None), (91, "same\nsame\nsame"), (92, "\n\n"), (93, "\n\n")]
+    C.reachable(spark)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(d, added=True, pairs=True).collect()}
+    seen = set()
+    for i, t in rows:
+        lines, cut = (t or "").split("\n"), set()
+        full = [k for k, x in enumerate(lines) if x]
+        for a, b in sorted({*((a, b + 1) for a, b in zip(full, full[1:])), *line_dedup.chunks((t or "").encode())[1]}):
+            part = tuple(lines[a:b])
+            if b - a >= 2 and any(part):
+                cut |= set(range(a, b)) if part in seen else set()
+                seen.add(part)
+        assert (got[i].text or "").split("\n") == ([x for k, x in enumerate(lines) if k not in cut] or [""])
+        assert got[i].n_removed_lines == len(cut)
+    left = {x for r in got.values() for x in (r.text or "").split("\n")}
+    assert left >= {x for _, t in rows for x in (t or "").split("\n")}
+    assert sum(r.n_removed_lines for r in got.values()) > sum(r.n_removed_lines for r in line_dedup.dedup_lines(d, added=True).collect())
+    by_report = {r.doc_id: r.n_removed_lines for r in line_dedup.report(d).collect()}
+    assert by_report == {i: r.n_removed_lines for i, r in got.items()}
+
+
 def test_near_dedup_against_brute_force(spark):
     C.reachable(spark)
     rng = np.random.default_rng(4)

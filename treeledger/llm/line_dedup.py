@@ -2,7 +2,8 @@
 
 A rolling hash over the hashes of neighbouring lines chooses the boundaries, so that an insertion shifts
 only the chunks around it. Chunks of several lines that occur anywhere before in the corpus are removed
-after their bytes have been compared.
+after their bytes have been compared. With ``pairs``, so are all pairs of neighbouring lines, wherever the
+boundaries fall: that cuts every repeated passage of two lines or more to its ends.
 """
 
 from __future__ import annotations
@@ -46,12 +47,24 @@ def chunks(text: bytes) -> tuple[list[bytes], list[tuple[int, int]]]:
     return lines, out
 
 
+def ranges(text: bytes, pairs: bool) -> tuple[list[bytes], list[tuple[int, int]], list[tuple[int, int]]]:
+    """The lines of a text, its chunks, and in order the line ranges that can be removed: chunks of MIN_LINES
+    lines or more with a character that is no blank and, with ``pairs``, each line with such a character to
+    the next one, with the blank lines between."""
+    lines, found = chunks(text)
+    out = [(a, b) for a, b in found if b - a >= MIN_LINES and any(map(bytes.strip, lines[a:b]))]
+    if pairs:
+        full = [k for k, x in enumerate(lines) if x.strip()]
+        out = sorted({*out, *((a, b + 1) for a, b in zip(full, full[1:]))})
+    return lines, found, out
+
+
 def _long(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _occurrences(docs: DataFrame) -> DataFrame:
-    """(cid, _id, _text, pos) of every chunk of MIN_LINES lines or more with a word character."""
+def _occurrences(docs: DataFrame, pairs: bool) -> DataFrame:
+    """(cid, _id, _text, pos) of every range that can be removed."""
     schema = pa.schema([("cid", pa.int64()), ("_id", pa.int64()), ("_text", pa.int64()), ("pos", pa.int32())])
 
     def run(batches):
@@ -59,27 +72,26 @@ def _occurrences(docs: DataFrame) -> DataFrame:
             for part in C.sub_batches(batch, "t"):
                 cid, row, pos = [], [], []
                 for k, t in enumerate(C.texts(part, "t")):
-                    lines, found = chunks(t)
+                    lines, _, found = ranges(t, pairs)
                     for p, (a, b) in enumerate(found):
-                        if b - a >= MIN_LINES and any(map(bytes.strip, lines[a:b])):
-                            cid.append(_long(xxhash.xxh3_64_intdigest(b"\n".join(lines[a:b]))))
-                            row.append(k)
-                            pos.append(p)
+                        cid.append(_long(xxhash.xxh3_64_intdigest(b"\n".join(lines[a:b]))))
+                        row.append(k)
+                        pos.append(p)
                 at = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), part.column(0).take(at), part.column(1).take(at), pa.array(pos, pa.int32())], schema=schema)
 
     return docs.mapInArrow(run, "cid long, _id long, _text long, pos int")
 
 
-def _bytes_of(docs: DataFrame) -> DataFrame:
-    """The bytes of the listed chunks of each document."""
+def _bytes_of(docs: DataFrame, pairs: bool) -> DataFrame:
+    """The bytes of the listed ranges of each document."""
 
     def run(batches):
         for batch in batches:
             for part in C.sub_batches(batch, "t"):
                 rows = []
                 for i, x, t, places in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), C.texts(part, "t"), part.column(3).to_pylist()):
-                    lines, found = chunks(t)
+                    lines, _, found = ranges(t, pairs)
                     rows += [(p["cid"], i, x, p["pos"], p["first"], b"\n".join(lines[slice(*found[p["pos"]])])) for p in places]
                 cols = list(zip(*rows)) or [()] * 6
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
@@ -88,17 +100,18 @@ def _bytes_of(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "cid long, _id long, _text long, pos int, first boolean, bytes binary")
 
 
-def removals(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_id, _text, places): chunks to remove from each document that repeats an earlier one, where _text is
-    xxhash64 of the text. Of equal chunks the first by (doc_id, xxhash64 of the text, place) stays; a null
-    id comes first. Rows with equal id and text are one document here and are treated alike.
+def removals(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", pairs: bool = False) -> DataFrame:
+    """(_id, _text, places): ranges to remove from each document that repeats an earlier one, where _text is
+    xxhash64 of the text. Of equal ranges the first by (doc_id, xxhash64 of the text, place) stays; a null
+    id comes first. Rows with equal id and text are one document here and are treated alike. The first
+    occurrence of a line in the corpus is in no range that repeats an earlier one, so that no line is lost.
 
-    Occurrences travel as four numbers; only chunks whose hash repeats travel with their bytes. A hot chunk
+    Occurrences travel as four numbers; only ranges whose hash repeats travel with their bytes. A hot range
     is one row per task in the count, and the joins by chunk can be split by AQE, as both sides are plain
     exchanges of stored tables.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.xxhash64(text).alias("_text"), F.col(text).alias("t")).where("t is not null")
-    places = C.materialize(_occurrences(rows), "chunk-places")
+    places = C.materialize(_occurrences(rows, pairs), "chunk-places")
     first = places.groupBy("cid").agg(F.min(F.struct("_id", "_text", "pos")).alias("f"), F.max(F.struct("_id", "_text", "pos")).alias("l")).where("f != l").select(F.col("cid").alias("_cid"), "f")
     first = C.materialize(first, "chunk-first")
     wanted = places.join(first, F.col("cid") == F.col("_cid")).select("cid", "_id", "_text", "pos", F.struct("_id", "_text", "pos").eqNullSafe(F.col("f")).alias("first"))
@@ -106,16 +119,17 @@ def removals(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
     wanted = C.materialize(wanted, "chunk-wanted").withColumnsRenamed({"_id": "_i", "_text": "_x"})
     same_row = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_x"))
     found = rows.join(wanted.hint("merge"), same_row).select("_id", "_text", "t", "places")  # one plan at every size
-    found = C.materialize(_bytes_of(found), "chunk-bytes")
+    found = C.materialize(_bytes_of(found, pairs), "chunk-bytes")
     kept = found.where("first").dropDuplicates(["cid"]).select(F.col("cid").alias("_cid"), F.col("bytes").alias("_bytes"))
     kept = C.materialize(kept, "chunk-kept")
     equal = found.where("not first").join(kept, (F.col("cid") == F.col("_cid")) & (F.col("bytes") == F.col("_bytes")), "left_semi")
     return C.materialize(equal.groupBy("_id", "_text").agg(F.sort_array(F.collect_set("pos")).alias("places")), "chunk-removals")
 
 
-def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", added: bool = False) -> DataFrame:
-    """Documents without the multi-line chunks that repeat earlier ones, same columns and rows; with
-    ``added`` also n_lines, n_removed_lines and n_removed_chunks (columns of these names are replaced).
+def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", added: bool = False, pairs: bool = False) -> DataFrame:
+    """Documents without the multi-line chunks that repeat earlier ones (with ``pairs``, without all
+    neighbouring lines that do), same columns and rows; with ``added`` also n_lines, n_removed_lines and
+    n_removed_chunks, those of which no line is left (columns of these names are replaced).
 
     Null and empty texts stay as they are and have no lines; white-space-only chunks are never removed; a
     text of which all is removed becomes empty; single lines are never removed; an empty table gives an
@@ -123,7 +137,7 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """
     extra = ["n_lines", "n_removed_lines", "n_removed_chunks"]
     plain, restore = (C.without(docs, extra), None) if added else C.stow(docs, extra)
-    gone = removals(docs, doc_id=doc_id, text=text).withColumnsRenamed({"_id": "_i", "_text": "_x", "places": "_places"})
+    gone = removals(docs, doc_id=doc_id, text=text, pairs=pairs).withColumnsRenamed({"_id": "_i", "_text": "_x", "places": "_places"})
     joined = plain.withColumn("_text", F.xxhash64(text)).join(gone.hint("merge"), F.col(doc_id).cast("long").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_x")), "left").drop("_i", "_x", "_text")
     schema = C.fields(joined.drop("_places").schema, *joined.limit(0).select(*[F.lit(0).cast("long").alias(c) for c in extra]).schema)
 
@@ -134,13 +148,12 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
                 valid = part.column(k).is_valid().to_pylist()
                 new, counts = [], []
                 for t, v, places in zip(C.texts(part, text), valid, part.column(g).to_pylist()):
-                    lines, found = chunks(t)
-                    drop = set(places or ())
-                    cut = [found[p] for p in drop]
-                    if drop:
-                        t = b"\n".join([x for p, (a, b) in enumerate(found) if p not in drop for x in lines[a:b]])
+                    lines, found, places_of = ranges(t, pairs) if places else (t.split(b"\n") if t else [], (), ())
+                    cut = {k for p in places or () for k in range(*places_of[p])}
+                    if cut:
+                        t = b"\n".join([x for k, x in enumerate(lines) if k not in cut])
                     new.append(t.decode() if v else None)
-                    counts.append((len(lines), sum(b - a for a, b in cut), len(cut)))
+                    counts.append((len(lines), len(cut), sum(cut.issuperset(range(a, b)) for a, b in found)))
                 arrays = list(part.columns)
                 arrays[k] = pa.array(new, part.schema.field(k).type)
                 names = list(part.schema.names)
@@ -154,5 +167,5 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed_lines, n_removed_chunks, text_sha256 (of the text that is left)."""
-    out = dedup_lines(docs.select("doc_id", "text"), added=True)
+    out = dedup_lines(docs.select("doc_id", "text"), added=True, pairs=True)
     return out.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", C.sha256_hex(F.coalesce("text", F.lit(""))).alias("text_sha256"))
