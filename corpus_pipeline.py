@@ -36,7 +36,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each document: doc_id, lang, source, n_pieces, scores, ids_crc32, decoded, ids."""
+    """Piece ids of each document: doc_id, lang, source, n_pieces, scores, ids_crc32, decoded,
+    n_pieces_each, ids_crc32_each, ids, segmentations (the N best as score and ids)."""
     return piece_lattice.encode(docs.select("doc_id", "lang", "source", "text"), tokenizer("piece_bpe_32k.model")).drop("text")
 
 

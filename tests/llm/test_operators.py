@@ -94,6 +94,29 @@ def test_pieces_of_awkward_texts(docs):
     assert piece_lattice.encode(empty(docs), SPM).count() == 0
 
 
+def test_all_n_best_segmentations_come_out_and_decode(docs, pieces):
+    got = piece_lattice.encode(docs, SPM).collect()
+    for r in got:
+        assert [(x.score, x.ids) for x in r.segmentations] == pieces.n_best(r.text or "")
+        assert r.scores == [x.score for x in r.segmentations] and r.ids == r.segmentations[0].ids
+        assert r.n_pieces_each == [len(x.ids) for x in r.segmentations]
+        assert r.ids_crc32_each == [zlib.crc32(np.array(x.ids, "<u4").tobytes()) for x in r.segmentations]
+        assert len({tuple(x.ids) for x in r.segmentations}) == len(r.segmentations) and (len(r.segmentations) == 3 or not r.text)
+    report = {(r.doc_id, *r.ids_crc32_each) for r in piece_lattice.report(docs, SPM).collect()}
+    assert report == {(r.doc_id, *r.ids_crc32_each) for r in got}
+    each = piece_lattice.encode(docs, SPM).withColumn("was", F.expr("replace(coalesce(text, ''), '▁', ' ')")).select("doc_id", "was", "text", F.explode("segmentations.ids").alias("ids"))
+    back = piece_lattice.decode(each, SPM)
+    assert back.count() == 2 + 3 * (len(TEXTS) - 2) and not back.where("text IS DISTINCT FROM was").count()
+    assert piece_lattice.decode(each.select("ids").limit(1).selectExpr("cast(null AS array<int>) AS ids"), SPM).collect()[0].text is None
+    with pytest.raises(Exception, match="not in the model"):
+        piece_lattice.decode(each.selectExpr("array(-1) AS ids"), SPM).collect()
+
+
+def test_equal_scores_give_distinct_segmentations(pieces):
+    assert pieces._after([2, 1], [(-1.0, [3]), (-1.0, [2, 1]), (-2.0, [4])]) == [(-1.0, [2, 1]), (-1.0, [3]), (-2.0, [4])]
+    assert pieces._after([9], [(-1.0, [3]), (-1.0, [2, 1])]) == [(-1.0, [9]), (-1.0, [3])]
+
+
 # --- secrets
 
 

@@ -243,9 +243,9 @@ class Pieces:
     def stretches(self, text: str) -> list[str]:
         return self.chunk.findall(MARK + text.replace(" ", MARK)) if text else []
 
-    def encode(self, parts: list[str], n: int) -> tuple[np.ndarray, list[float], list[tuple[int, list[int]]]]:
+    def encode(self, parts: list[str], n: int) -> tuple[np.ndarray, list[float], list[list[tuple[int, int, np.ndarray]]]]:
         """For the stretches of a text, all in the cache or long: the best ids, the scores of the n best
-        segmentations, and for each of these the stretches it segments in another way."""
+        segmentations, and for each of these what it puts in the place of best ids: (start, end, other ids)."""
         get = self.new.get
         if not parts:
             return np.zeros(0, "<u4"), [0.0], [[]]
@@ -256,12 +256,14 @@ class Pieces:
             near.append(k)
             gaps[k] = np.inf
         near.sort()
-        lists = [self.n_best_of(parts[i], n) for i in near]
+        lists = [self._after(np.frombuffer(spelled[i], "<u4").tolist(), self.n_best_of(parts[i], n)) for i in near]
+        ends = np.cumsum([len(x) // 4 for x in spelled]).tolist() if near else []
+        places = [(ends[i] - len(spelled[i]) // 4, ends[i]) for i in near]
         heap, seen, scores, changes = [(0.0, (0,) * len(near))], {(0,) * len(near)}, [], []
         while heap and len(scores) < n:
             lost, pick = heapq.heappop(heap)
             scores.append(total - lost)
-            changes.append([(i, lists[k][p][1]) for k, (i, p) in enumerate(zip(near, pick)) if p])
+            changes.append([(*places[k], np.array(lists[k][p][1], "<u4")) for k, p in enumerate(pick) if p])
             for k in range(len(near)):
                 p = pick[:k] + (pick[k] + 1,) + pick[k + 1 :]
                 if p[k] < len(lists[k]) and p not in seen:
@@ -269,18 +271,42 @@ class Pieces:
                     heapq.heappush(heap, (sum(lists[j][0][0] - lists[j][q][0] for j, q in enumerate(p)), p))
         return ids, scores, changes
 
+    @staticmethod
+    def _after(best: list[int], found: list[tuple[float, list[int]]]) -> list[tuple[float, list[int]]]:
+        """The n best of a stretch with the forward pass's best ids first, where equal scores order otherwise."""
+        if found[0][1] == best:
+            return found
+        return [(found[0][0], best), *(x for x in found if x[1] != best)][: len(found)]
+
+    @staticmethod
+    def change(ids: np.ndarray, changes: list[tuple[int, int, np.ndarray]]) -> np.ndarray:
+        """The ids of a segmentation from the best ids and its changes."""
+        out, at = [], 0
+        for start, end, other in changes:
+            out += [ids[at:start], other]
+            at = end
+        return np.concatenate([*out, ids[at:]]) if out else ids
+
     def n_best(self, text: str, n: int = N_BEST) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a text, best first: (score, ids)."""
         parts = self.stretches(text)
         self.learn(set(parts))
-        _, scores, changes = self.encode(parts, n)
-        own = [np.frombuffer((self.new.get(s) or self._long(s))[0], "<u4").tolist() for s in parts]
-        return [(s, [i for k, x in enumerate(own) for i in dict(c).get(k, x)]) for s, c in zip(scores, changes)]
+        ids, scores, changes = self.encode(parts, n)
+        return [(s, self.change(ids, c).tolist()) for s, c in zip(scores, changes)]
+
+    def spell(self, ids) -> bytes:
+        spelling = self.spelling
+        return b"".join([spelling[i] for i in ids])
 
     def decode(self, ids) -> bytes:
         """The UTF-8 text of ids; the leading mark that encoding added is taken off."""
-        spell = self.spelling
-        return b"".join([spell[i] for i in ids]).removeprefix(b" ")
+        return self.spell(ids).removeprefix(b" ")
+
+    def round_trip(self, text: bytes, ids: np.ndarray, changes) -> bool:
+        """Whether all segmentations decode to the text, word marks read as blanks: the best one as a whole,
+        the others where they differ from it."""
+        whole = self.decode(ids.tolist()) == text.replace(MARK.encode(), b" ")
+        return whole and all(self.spell(other.tolist()) == self.spell(ids[a:b].tolist()) for c in changes for a, b, other in c)
 
 
 _loaded: dict[str, Pieces] = {}
@@ -293,18 +319,28 @@ def pieces(path: str) -> Pieces:
     return _loaded[path]
 
 
+def _offsets(lists) -> pa.Array:
+    return pa.array(np.cumsum([0, *map(len, lists)]), pa.int32())
+
+
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(_offsets(ids), pa.array(np.concatenate([np.zeros(0, np.int32), *(i.astype(np.int32) for i in ids)])))
+
+
 def encode(docs: DataFrame, model: str, *, text: str = "text", n: int = N_BEST, with_ids: bool = True) -> DataFrame:
     """Add n_pieces, scores (of the n best segmentations, best first), ids_crc32 (of the best ids as
-    little-endian unsigned 32-bit integers), decoded (whether decoding gives the text back, word marks read
-    as blanks) and with ``with_ids`` the best ids.
+    little-endian unsigned 32-bit integers), decoded (whether decoding each of the n gives the text back,
+    word marks read as blanks), n_pieces_each and ids_crc32_each (of the n, best first) and with ``with_ids``
+    the best ids and segmentations, the n best as (score, ids).
 
     Null and empty texts have no pieces, the one score 0 and decode to the empty text. Repeated rows are
     encoded each. Columns of these names are replaced, all others pass. No shuffle."""
-    added = ["n_pieces", "scores", "ids_crc32", "decoded"] + ["ids"] * with_ids
-    df = C.without(docs, [*added, "ids"])
+    added = ["n_pieces", "scores", "ids_crc32", "decoded", "n_pieces_each", "ids_crc32_each"] + ["ids", "segmentations"] * with_ids
+    df = C.without(docs, [*added, "ids", "segmentations"])
     cols = {"n_pieces": F.lit(0).cast("long"), "scores": F.lit(None).cast("array<double>"), "ids_crc32": F.lit(0).cast("long"), "decoded": F.lit(True)}
+    cols |= {c: F.lit(None).cast("array<long>") for c in ("n_pieces_each", "ids_crc32_each")}
     if with_ids:
-        cols["ids"] = F.lit(None).cast("array<int>")
+        cols |= {"ids": F.lit(None).cast("array<int>"), "segmentations": F.lit(None).cast("array<struct<score:double,ids:array<int>>>")}
     schema = df.limit(0).withColumns(cols).schema
 
     def run(batches):
@@ -314,16 +350,47 @@ def encode(docs: DataFrame, model: str, *, text: str = "text", n: int = N_BEST,
                 raw = C.texts(part, text)
                 parts = [p.stretches(t.decode()) for t in raw]
                 p.learn({s for x in parts for s in x})
-                got = [p.encode(x, n)[:2] for x in parts]
-                same = [p.decode(ids.tolist()) == t.replace(MARK.encode(), b" ") for (ids, _), t in zip(got, raw)]
-                arrays = [pa.array([len(i) for i, _ in got], pa.int64()), pa.array([s for _, s in got], pa.list_(pa.float64())), pa.array([zlib.crc32(i.tobytes()) for i, _ in got], pa.int64()), pa.array(same)]
+                got = [p.encode(x, n) for x in parts]
+                same = [p.round_trip(t, ids, changes) for (ids, _, changes), t in zip(got, raw)]
+                each = [[p.change(ids, c) for c in changes] for ids, _, changes in got]
+                sums = [[zlib.crc32(i.tobytes()) for i in x] for x in each]
+                arrays = [pa.array([len(i) for i, _, _ in got], pa.int64()), pa.array([s for _, s, _ in got], pa.list_(pa.float64())), pa.array([x[0] for x in sums], pa.int64()), pa.array(same, pa.bool_())]
+                arrays += [pa.array([[len(i) for i in x] for x in each], pa.list_(pa.int64())), pa.array(sums, pa.list_(pa.int64()))]
                 if with_ids:
-                    arrays.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(i) for i, _ in got])]), pa.int32()), pa.array(np.concatenate([i.astype(np.int32) for i, _ in got] or [np.zeros(0, np.int32)]))))
+                    scores = pa.array([s for _, x, _ in got for s in x], pa.float64())
+                    ranked = pa.StructArray.from_arrays([scores, _lists([i for x in each for i in x])], ["score", "ids"])
+                    arrays += [_lists([i for i, _, _ in got]), pa.ListArray.from_arrays(_offsets(each), ranked)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=[*part.schema.names, *added])
 
     return df.mapInArrow(run, schema)
 
 
+def decode(df: DataFrame, model: str, *, ids: str = "ids", text: str = "text") -> DataFrame:
+    """Add the text that a column of ids spells, word marks as blanks; a column of this name is replaced, all
+    others pass. Null ids have a null text, and no ids the empty one. Bytes that are no UTF-8 become U+FFFD;
+    control ids spell nothing; an id that the model doesn't have, or a null in the array, is an error. No shuffle."""
+    out = C.without(df.withColumn("_ids", F.col(ids).cast("array<int>")), [text])
+    schema = C.fields(out.drop("_ids").schema, *out.limit(0).select(F.lit("").cast("string").alias(text)).schema)
+    schema[text].nullable = True
+
+    def run(batches):
+        p = pieces(model)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                part, found = batch.slice(k, 64), []
+                at = part.schema.get_field_index("_ids")
+                for x in part.column(at):
+                    own = x.as_py()
+                    if own and (None in own or min(own) < 0 or max(own) >= len(p.spelling)):
+                        raise ValueError("an id is not in the model")
+                    found.append(None if own is None else p.decode(own).decode(errors="replace"))
+                arrays, names = list(part.columns), list(part.schema.names)
+                del arrays[at], names[at]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(found, pa.string())], names=[*names, text])
+
+    return out.mapInArrow(run, schema)
+
+
 def report(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, n_pieces, scores, ids_crc32, decoded."""
+    """doc_id, n_pieces, scores, ids_crc32, decoded, n_pieces_each, ids_crc32_each."""
     return encode(docs.select("doc_id", "text"), model, with_ids=False).drop("text")
