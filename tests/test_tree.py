@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from treeledger.functions import matchers, scalars
 from treeledger.operators import diff, duplicates, legacy, merge_rules, planning, series
+from treeledger.plans import queries as plan_queries
 from treeledger.schema import MANIFEST
 from treeledger.sources import messages, tree
 
@@ -122,6 +123,14 @@ def test_sync_detects_rename(spark):
     assert got == {"a": ("renamed", "b"), "gone": ("delete", None), "b": ("add", None)}
 
 
+def test_rename_cap_gives_up_only_above_ten(spark, monkeypatch):
+    scan = [row(f"ten/{i}", size=10, sha=f"t{i}") for i in range(10)] + [row(f"more/{i}", size=11, sha=f"m{i}") for i in range(11)] + [row(f"four/{i}", size=4, sha=f"f{i}") for i in range(4)]
+    both = {"m1": table(spark, row("a", size=10, sha="t3"), row("b", size=11, sha="m3"), row("c", size=4, sha="f0")), "m2": table(spark, *scan)}
+    monkeypatch.setattr(plan_queries.X, "manifest", lambda spark, sf, name: both[name])
+    got = {r.path: (r.bucket, r.renames, r.first, r.too_many) for r in plan_queries.QUERIES["rename_cap"](spark, "").collect()}
+    assert got == {"a": (10, 1, "ten/3", False), "b": (11, 0, None, True), "c": (4, 1, "four/0", False)}
+
+
 def test_delete_duplicates_needs_a_copy_outside(spark):
     m = table(spark, row("p/a"), row("q/a"), row("p/b", sha="b", mtime=1), row("q/b", sha="b"))
     got = {r.path: r.delete for r in duplicates.deletable(m, lambda p: matchers.match_prefix(p, ["p"])).collect()}

@@ -137,6 +137,9 @@ _add("dup_topk", _two(lambda a, b: duplicates.top(duplicates.pairs(b, a))))
 _add("rename_by_size", _two(lambda a, b: duplicates.renames_by_size(a.join(b, "path", "left_anti"), b, 3)), f""",
 s AS (SELECT size, count(*) AS bucket FROM m2 WHERE {_FILES} GROUP BY size), g AS (SELECT m1.path, m1.size, m1.sha256, coalesce(s.bucket, 0) AS bucket FROM m1 LEFT JOIN s ON s.size = m1.size WHERE m1.path_type = 'FILE' AND m1.size >= 1 AND path NOT IN (SELECT path FROM m2))
 SELECT g.path, g.bucket, count(c.path) AS renames, min(c.path) AS first, g.bucket > 3 AS too_many FROM g LEFT JOIN m2 c ON c.size = g.size AND c.sha256 = g.sha256 AND c.path <> g.path AND c.path_type = 'FILE' AND g.bucket <= 3 GROUP BY g.path, g.bucket""")
+_add("rename_cap", _two(lambda a, b: duplicates.renames_by_size(a.join(b, "path", "left_anti"), b)), f""",
+s AS (SELECT size, count(*) AS bucket FROM m2 WHERE {_FILES} GROUP BY size), g AS (SELECT m1.path, m1.size, m1.sha256, coalesce(s.bucket, 0) AS bucket FROM m1 LEFT JOIN s ON s.size = m1.size WHERE m1.path_type = 'FILE' AND m1.size >= 1 AND path NOT IN (SELECT path FROM m2))
+SELECT g.path, g.bucket, count(c.path) AS renames, min(c.path) AS first, g.bucket > 10 AS too_many FROM g LEFT JOIN m2 c ON c.size = g.size AND c.sha256 = g.sha256 AND c.path <> g.path AND c.path_type = 'FILE' AND g.bucket <= 10 GROUP BY g.path, g.bucket""")
 _IN = "(path = 'src1' OR starts_with(path, 'src1/') OR path = 'moved' OR starts_with(path, 'moved/'))"
 _inside = lambda p: matchers.match_prefix(p, ["src1", "moved"])
 _DEL = "SELECT path, bool_or({same}) AS \"delete\", min(candidate) FILTER ({same}) AS duplicate_of, min(candidate) AS similar_to FROM q WHERE {a} AND NOT {b} GROUP BY path"
