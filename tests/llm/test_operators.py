@@ -251,6 +251,16 @@ def test_line_dedup_cuts_repeated_passages_to_their_ends(spark):
     assert by_report == {i: r.n_removed_lines for i, r in got.items()}
 
 
+def test_near_dedup_samples_follow_the_threshold(docs):
+    rng = np.random.default_rng(1)
+    assert near_dup.likely(0.8) == 42 and near_dup.likely(1.0) == near_dup.BANDS * near_dup.ROWS
+    for t in (0.78, 0.8, 0.9, 0.97):
+        assert (rng.binomial(70, t, 400_000) < near_dup.likely(t)).mean() < 2 * near_dup.LOSS
+    for t in (0.5, 0.6, 0.7, 1.1, float("nan")):
+        with pytest.raises(ValueError, match="bands"):
+            near_dup.classes(docs, threshold=t)
+
+
 def test_near_dedup_against_brute_force(spark):
     C.reachable(spark)
     rng = np.random.default_rng(4)

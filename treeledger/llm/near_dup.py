@@ -12,13 +12,15 @@ they share a shingle that is among the rarest (1 - t) of the former and (1 - t)
 texts of different classes that do are compared. Thus no link is lost, no pairs are made within a class, and
 texts that merely share frequent passages do not meet.
 
-Before sets are compared, one byte of each sample is: pairs with fewer than LIKELY equal bytes, which at
-similarity 0.8 happens to two in a hundred thousand, are not sent the sets.
+Before sets are compared, one byte of each sample is: pairs with too few equal bytes for the threshold are not
+sent the sets. At the threshold's similarity at most LOSS of the pairs are lost by that; at 0.8 it is 3.5 in a
+hundred thousand (fewer than 42 of 70).
 """
 
 from __future__ import annotations
 
 import hashlib
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +38,8 @@ BANDS, ROWS = 14, 5
 CELL_BITS = 20
 #: Texts of a bucket that those of other classes are compared with, and how often this is repeated.
 LEADERS, ROUNDS = 8, 2
-#: Least number of equal samples (by one byte each) of a pair that is verified.
-LIKELY = 42
+#: Share of the links at the threshold that the comparison of samples may lose, and least share that banding finds.
+LOSS, FOUND = 5e-5, 0.99
 #: Levels per doubling of a weight.
 PER_DOUBLING = 16
 #: A shingle that no other document has weighs more than one that all have by this share. In a group of
@@ -57,6 +59,20 @@ def shingles(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(w, return_counts=True)
 
 
+def likely(threshold: float) -> int:
+    """Least number of equal samples (by one byte each) of a pair that is verified: the most that loses no more
+    than LOSS of the pairs of the threshold's similarity. A threshold that the bands are not made for is an error."""
+    if not 1 - (1 - threshold**ROWS) ** BANDS >= FOUND or threshold > 1:
+        raise ValueError(f"{BANDS} bands of {ROWS} do not find {FOUND} of the pairs at threshold {threshold}")
+    n, lost, least = BANDS * ROWS, 0.0, 0
+    while least < n:
+        lost += comb(n, least) * threshold**least * (1 - threshold) ** (n - least)
+        if lost > LOSS:
+            break
+        least += 1
+    return least
+
+
 def _cells(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
@@ -300,8 +316,9 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
 
     ``class_id`` is the smallest id of the class, ``keep`` marks the class's first row by (id, _text), nulls
     last. Null texts and texts without words are classes of their own (their own id); repeated rows are
-    copies of each other; ids that are all null give a null class_id.
+    copies of each other; ids that are all null give a null class_id. Thresholds below about 0.78 are an error.
     """
+    least = likely(threshold)
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("_text"), F.coalesce(text, F.lit("")).alias("t"))
     df, n = document_frequencies(rows)
@@ -324,7 +341,7 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
         sets = C.materialize(sets.dropDuplicates(["digest"]), "near-sets")
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        return C.materialize(_verify(_likely(pairs.distinct(), reps, LIKELY), sets, threshold), "near-links")
+        return C.materialize(_verify(_likely(pairs.distinct(), reps, least), sets, threshold), "near-links")
 
     def with_label(places: DataFrame, labels: DataFrame) -> DataFrame:
         joined = places.select("band", "bucket", "digest").join(labels.withColumnRenamed("node", "digest"), "digest", "left")
