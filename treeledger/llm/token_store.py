@@ -16,9 +16,11 @@ u32; all token ids u32.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -132,46 +134,91 @@ class TokenFile:
 
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Chunks: a run of Latin letters that white space, a full stop, a comma or the end follows; or all up to
-#: the next white space. No token of the vocabulary crosses these places: white space is dropped and runs of
-#: letters are separate from signs before any merge.
+#: the next white space. No token of a vocabulary with the steps below crosses these places: white space is
+#: dropped and runs of letters are separate from signs before any merge.
 _CHUNK = re.compile(rf"[{_LATIN}]++(?![^ \t\n\r\f\v.,])|[^ \t\n\r\f\v]+")
 _PLAIN = re.compile(rf"[{_LATIN}]+").fullmatch
-
-
-class ChunkEncoder(dict):
-    """Token ids of chunks through the tokenizers library, remembered in two generations of at most
-    ``most`` chunks each. Runs of Latin letters go straight to the library's model, as its normalizer and
-    splitter would only lower-case them and spell their bytes; other chunks take the whole path."""
-
-    def __init__(self, path: str, most: int = 300_000):
+#: The steps before the model, and the mark of a word's last token, of files that chunks are right for.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+WORD_END = "</w>"
+
+
+class ChunkEncoder:
+    """Token ids of texts through the tokenizers library. Where the file has the steps above, texts are cut at
+    blanks and line feeds, and the ids of what lies between are remembered, in two generations of at most
+    ``most`` entries of at most LONGEST characters. What is unknown is cut into chunks; runs of Latin letters go
+    straight to the library's model, as the steps before it would only lower-case them and spell their bytes,
+    all other chunks take the whole path. Texts for any other file go to the library whole."""
+
+    LONGEST = 64
+
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer, self.most, self.old = Tokenizer.from_file(path), most, {}
-        self.model = self.tokenizer.model
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.tokenizer, self.most, self.known, self.old = Tokenizer.from_file(path), most, {}, {}
+        self.tokenize = self.tokenizer.model.tokenize
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.kind = np.dtype(self.code)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.chunked = spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == SPLITTER and spec["model"].get("end_of_word_suffix") == WORD_END
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(printable)]
         spell = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
         self.spell = {c: "".join(spell[b] for b in chr(c).encode()) for c in range(128, 256)}
 
-    def __missing__(self, chunk: str) -> bytes:
-        out = self.old.get(chunk)
-        if out is None:
-            if _PLAIN(chunk):
-                ids = [t.id for t in self.model.tokenize(chunk.lower().translate(self.spell))]
+    def _chunk(self, chunk: str) -> bytes:
+        if _PLAIN(chunk):
+            low = chunk.lower()
+            ids = [t.id for t in self.tokenize(low if low.isascii() else low.translate(self.spell))]
+        else:
+            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        return array(self.code, ids).tobytes()
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Bring words into memory; those too long for it are returned."""
+        if len(self.known) > self.most:
+            self.old, self.known = self.known, {}
+        known, old, long, tokenize, code = self.known, self.old, {}, self.tokenize, self.code
+        for w in words:
+            v = old.get(w)
+            if v is None:
+                if w.isalpha() and w.isascii():
+                    v = array(code, [t.id for t in tokenize(w.lower())]).tobytes()
+                else:
+                    v = b"".join([self._part(c) for c in _CHUNK.findall(w)])
+            if len(w) <= self.LONGEST:
+                known[w] = v
             else:
-                ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-            out = np.array(ids, self.kind).tobytes()
-        if len(chunk) <= 64:
-            if len(self) >= self.most:
-                self.old = dict(self)
-                self.clear()
-            self[chunk] = out
-        return out
+                long[w] = v
+        return long
+
+    def _part(self, chunk: str) -> bytes:
+        v = self.known.get(chunk) or self.old.get(chunk)
+        if v is None:
+            v = self._chunk(chunk)
+            if len(chunk) <= self.LONGEST:
+                self.known[chunk] = v
+        return v
 
     def ids(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, _CHUNK.findall(text))), self.kind)
+        """The ids of a text."""
+        if not self.chunked:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+        words = text.replace("\n", " ").split(" ")
+        found = list(map(self.known.get, words))
+        if None in found:
+            long = self._learn({w for w, v in zip(words, found) if v is None})
+            known = self.known
+            found = [v if v is not None else known[w] if len(w) <= self.LONGEST else long[w] for w, v in zip(words, found)]
+        return np.frombuffer(b"".join(found), self.kind)
 
 
 _encoders: dict[str, ChunkEncoder] = {}
