@@ -15,16 +15,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Used only where the session names no shared folder (tests on one machine).
+#: Used only where the session names no shared folder and runs on one machine (tests).
 DEFAULT_SHARED = "file:///tmp/checkpoints"
+#: For Python workers, which live on from stage to stage: memory that is free goes back to the system.
+WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "4194304"}
+#: Bits of a key filter: about so many for each key, and no more than these (32 MB).
+KEY_BITS, MOST_BITS = 16, 1 << 28
 
 
 def reachable(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver did, besides their own path."""
+    """Let Python workers import this package from where the driver did, besides their own path, and set
+    how they hold memory, unless the session sets it."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
+    for k, v in WORKER_ENV.items():
+        env.setdefault(k, v)
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,9 +40,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and every executor see, as the session names it."""
+    """The folder that the driver and every executor see, as the session names it. Without one a cluster is
+    an error, as its machines share no default."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = DEFAULT_SHARED
     return base.rstrip("/") + "/treeledger"
 
@@ -50,7 +60,41 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     the loss of executors."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` stored for these tables; nothing that is still to run may read them."""
+    for t in tables:
+        jvm, conf = t.sparkSession._jvm, t.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        at = jvm.org.apache.hadoop.fs.Path(t._stored)
+        at.getFileSystem(conf).delete(at, True)
+
+
+def key_filter(keys: DataFrame, *columns: str):
+    """A test for rows whose columns may be among the keys' columns: a function of columns of the same types
+    that gives a boolean column. It never misses a key; about one row in KEY_BITS passes without being one, and
+    more where the keys are more than the filter has room for, so a join follows. What goes through the driver
+    and is broadcast is a bitmap of KEY_BITS per key, of at most MOST_BITS."""
+    n, bits = keys.count(), 1 << 15
+    while bits < min(KEY_BITS * n, MOST_BITS):
+        bits *= 2
+    place = lambda *c: F.pmod(F.xxhash64(*c), F.lit(bits))
+    at = place(*columns) + 1  # Spark's bitmaps count from one
+    rows = keys.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    table = np.zeros((bits >> 15, 4096), np.uint8)
+    for r in rows:
+        table[r.bucket - 1] = np.frombuffer(bytes(r.bits), np.uint8)
+    shared = keys.sparkSession.sparkContext.broadcast(table.reshape(-1))
+
+    @F.arrow_udf("boolean")
+    def among(p: pa.Array) -> pa.Array:
+        p, held = p.to_numpy(zero_copy_only=False), shared.value
+        return pa.array(held[p >> 3] >> (p & 7).astype(np.uint8) & 1 == 1)
+
+    return lambda *c: among(place(*c))
 
 
 def local_path(path: str) -> str | None:
@@ -122,10 +166,10 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     return [F.col(doc_id).alias("_id"), F.md5(F.coalesce(F.col(text), F.lit("\0")).cast("binary")).alias("_digest")]
 
 
-def sub_batches(batch: pa.RecordBatch, text: str = "text", budget: int = 4 << 20):
-    """Cut a batch so that the text of each piece is about ``budget`` bytes (one row at least)."""
-    col = batch.column(batch.schema.get_field_index(text))
-    lengths = np.asarray(pc.binary_length(col).fill_null(0))
+def sub_batches(batch: pa.RecordBatch, text: str | tuple[str, ...] = "text", budget: int = 4 << 20):
+    """Cut a batch so that the text (or the columns) of each piece is about ``budget`` bytes (one row at least)."""
+    columns = [batch.column(batch.schema.get_field_index(c)) for c in ([text] if isinstance(text, str) else text)]
+    lengths = np.sum([np.asarray(pc.binary_length(c).fill_null(0)) for c in columns], axis=0)
     if not len(lengths):
         return
     group = (np.cumsum(lengths, dtype=np.int64) - lengths) // budget

@@ -1,7 +1,7 @@
 """Near-duplicate classes by improved consistent weighted sampling over TF-IDF shingles.
 
 A shingle is five consecutive words; its weight is term frequency times inverse document frequency, kept as
-one of 256 logarithmic levels. Samples are banded; candidates are verified by weighted Jaccard similarity;
+a logarithmic level. Samples are banded; candidates are verified by weighted Jaccard similarity;
 classes are the connected components of the verified links.
 
 Exact copies (equal words) are one text from the start. In each bucket every text is first compared with
@@ -13,17 +13,20 @@ texts of different classes that do are compared. Thus no link is lost, no pairs
 texts that merely share frequent passages do not meet.
 
 Before sets are compared, one byte of each sample is: pairs with too few equal bytes for the threshold are not
-sent the sets. At the threshold's similarity at most LOSS of the pairs are lost by that; at 0.8 it is 3.5 in a
-hundred thousand (fewer than 42 of 70).
+sent the sets. At the threshold's similarity at most LOSS of the pairs are lost by that (at 0.8: fewer than 33 of
+70), which is some millionths of what banding itself does not find.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
+from functools import lru_cache, reduce
 from math import comb
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,16 +39,18 @@ BANDS, ROWS = 14, 5
 #: Document frequencies are counted in a sketch of so many cells, less the mean load of a cell. Its size is
 #: fixed, and so is what is broadcast (one byte per cell).
 CELL_BITS = 20
+#: The sketch is added up in so many blocks, and so many sums at a time.
+BLOCKS, FAN = 16, 64
 #: Texts of a bucket that those of other classes are compared with, and how often this is repeated.
 LEADERS, ROUNDS = 8, 2
 #: Share of the links at the threshold that the comparison of samples may lose, and least share that banding finds.
-LOSS, FOUND = 5e-5, 0.99
-#: Levels per doubling of a weight.
-PER_DOUBLING = 16
+LOSS, FOUND = 1e-9, 0.99
+#: Levels per doubling of a weight, levels that there can be, and those that samplers have a table for.
+PER_DOUBLING, LEVELS, TABLE_LEVELS = 16, 1024, 40
 #: A shingle that no other document has weighs more than one that all have by this share. In a group of
 #: thousands of near copies what they share is frequent and what sets them apart is rare, so a larger share
 #: would push copies of plain similarity over 0.8 below it.
-IDF_SHARE = 0.15
+IDF_SHARE = 0.5
 _SEED = 20240229
 
 
@@ -86,52 +91,62 @@ def idf_levels(df: np.ndarray, n_docs: int) -> np.ndarray:
     return np.round(PER_DOUBLING * np.log2(idf)).astype(np.uint8)
 
 
+@lru_cache(1)
+def _variates() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Variates r, c and beta, and ln a for each of the first TABLE_LEVELS levels (10 MB, once per process)."""
+    rng = np.random.Generator(np.random.PCG64(_SEED))
+    size = 1 << 16
+    r, c, beta = rng.gamma(2.0, 1.0, size), rng.gamma(2.0, 1.0, size), rng.random(size)
+    ln_a = np.empty((TABLE_LEVELS, size), np.float32)
+    for level in range(TABLE_LEVELS):
+        ln_a[level] = _ln_a(r, c, beta, level)
+    return r, c, beta, ln_a
+
+
+def _steps(r, beta, level):
+    """The quantised place t of a weight of this level."""
+    return np.floor(level * (np.log(2) / PER_DOUBLING) / r + beta)
+
+
+def _ln_a(r, c, beta, level):
+    return np.log(c) - r * (_steps(r, beta, level) - beta) - r
+
+
 class Sampler:
     """Consistent weighted samples. The variates of a shingle for sample k are drawn from a table by a hash of
-    both; for each level the table holds ready values of ln a."""
+    both; for low levels another table holds ready values of ln a."""
 
     def __init__(self, idf: np.ndarray, bands: int = BANDS, rows: int = ROWS):
         self.idf, self.bands, self.rows = idf, bands, rows
-        rng = np.random.Generator(np.random.PCG64(_SEED))
-        size = 1 << 16
-        self.r, self.c = rng.gamma(2.0, 1.0, size), rng.gamma(2.0, 1.0, size)
-        self.beta = rng.random(size)
+        self.r, self.c, self.beta, self.ln_a = _variates()
+        rng = np.random.Generator(np.random.PCG64(_SEED + 1))
         self.odd = (rng.integers(0, 1 << 31, bands * rows, dtype=np.uint32) * 2 + 1).astype(np.uint32)
-        self.level_row = np.full(256, -1, np.int64)
-        self.ln_a = np.zeros((0, size), np.float32)
-        self.t = np.zeros((0, size), np.int32)
 
     def levels(self, h: np.ndarray, counts: np.ndarray) -> np.ndarray:
         tf = np.round(PER_DOUBLING * np.log2(counts)).astype(np.int64)
-        return np.minimum(tf + self.idf[_cells(h)], 255)
-
-    def _rows(self, levels: np.ndarray) -> np.ndarray:
-        for level in np.unique(levels[self.level_row[levels] < 0]).tolist():
-            ln_w = level * np.log(2) / PER_DOUBLING
-            t = np.floor(ln_w / self.r + self.beta)
-            self.level_row[level] = len(self.ln_a)
-            self.ln_a = np.concatenate([self.ln_a, (np.log(self.c) - self.r * (t - self.beta) - self.r).astype(np.float32)[None]])
-            self.t = np.concatenate([self.t, t.astype(np.int32)[None]])
-        return self.level_row[levels]
+        return tf + self.idf[_cells(h)]
 
     def band_hashes(self, h: np.ndarray, levels: np.ndarray, block: int = 4096) -> tuple[np.ndarray, bytes]:
         """One 64-bit hash per band, and one byte of each sample."""
-        row = self._rows(levels)
-        flat, t_flat = self.ln_a.reshape(-1), self.t.reshape(-1)
-        low, best, win = (h >> np.uint64(32)).astype(np.uint32), None, None
+        flat, best = self.ln_a.reshape(-1), None
+        low = (h >> np.uint64(32)).astype(np.uint32)
         for at in range(0, len(h), block):
-            place = (low[None, at : at + block] * self.odd[:, None]) >> np.uint32(16)
-            place = place.astype(np.int64) + (row[at : at + block] << 16)[None]
-            a = flat[place]
+            place = ((low[None, at : at + block] * self.odd[:, None]) >> np.uint32(16)).astype(np.int64)
+            level = levels[at : at + block]
+            a = flat[place + (np.minimum(level, TABLE_LEVELS - 1) << 16)[None]]
+            if len(high := np.flatnonzero(level >= TABLE_LEVELS)):
+                p = place[:, high]
+                a[:, high] = _ln_a(self.r[p], self.c[p], self.beta[p], level[high][None])
             k = a.argmin(1)
             rows = np.arange(len(k))
             value, where, k = a[rows, k], place[rows, k], k + at
             if best is None:
-                best, win, at_t = value, k, where
+                best, win, at_win = value, k, where
             else:
                 better = value < best
-                best, win, at_t = np.where(better, value, best), np.where(better, k, win), np.where(better, where, at_t)
-        s = C.mix(h[win] ^ (t_flat[at_t].astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+                best, win, at_win = np.where(better, value, best), np.where(better, k, win), np.where(better, where, at_win)
+        t = _steps(self.r[at_win], self.beta[at_win], levels[win]).astype(np.int64)
+        s = C.mix(h[win] ^ (t.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
         out = np.arange(1, self.bands + 1, dtype=np.uint64)
         for x in s.reshape(self.bands, self.rows).T:
             out = C.mix(out * np.uint64(0xD1342543DE82EF95) + x)
@@ -139,16 +154,16 @@ class Sampler:
 
 
 def weighted_jaccard(a: bytes, la: bytes, b: bytes, lb: bytes) -> float:
-    """Of two packed sets: ascending shingle hashes (u8 each, as stored) with levels (u1 each)."""
+    """Of two packed sets: ascending shingle hashes (u8 each, as stored) with levels (u2 each)."""
     ha, hb = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
-    wa, wb = _WEIGHTS[np.frombuffer(la, "u1")], _WEIGHTS[np.frombuffer(lb, "u1")]
+    wa, wb = _WEIGHTS[np.frombuffer(la, "<u2")], _WEIGHTS[np.frombuffer(lb, "<u2")]
     at = np.minimum(np.searchsorted(hb, ha), len(hb) - 1)
     both = hb[at] == ha
     low = np.minimum(wa[both], wb[at[both]]).sum()
     return float(low / (wa.sum() + wb.sum() - low))
 
 
-_WEIGHTS = 2.0 ** (np.arange(256) / PER_DOUBLING)
+_WEIGHTS = 2.0 ** (np.arange(LEVELS) / PER_DOUBLING)
 
 
 def _digest(data: bytes) -> bytes:
@@ -159,8 +174,9 @@ def _digest(data: bytes) -> bytes:
 
 
 def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
-    """Sketch of shingle document frequencies over all documents, and the number of documents. Tasks sum
-    their rows in the sketch's cells; the cells are added up by key."""
+    """Sketch of shingle document frequencies over all documents, and the number of documents. Each task sums its
+    rows in the sketch's cells; sums of FAN tasks at a time are added up, block by block of the sketch, until one
+    is left, so that no task holds more than FAN sums of a block."""
 
     def count(batches):
         cells, n = np.zeros(1 << CELL_BITS, np.int64), 0
@@ -171,31 +187,33 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
                 if found:
                     cells += np.bincount(np.concatenate(found), minlength=len(cells))
         if n:
-            width = 1 << 12
-            blocks = cells.astype("<i8").reshape(-1, width)
-            yield pa.RecordBatch.from_pydict({"block": np.arange(len(blocks), dtype="i4"), "n": [n] + [0] * (len(blocks) - 1), "cells": [_pack(b) for b in blocks]})
+            blocks, task = cells.reshape(BLOCKS, -1), TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_pydict({"block": np.arange(BLOCKS, dtype="i4"), "task": np.full(BLOCKS, task, "i4"), "n": [n] + [0] * (BLOCKS - 1), "cells": [_pack(b) for b in blocks]})
 
     def add(key, table):
-        total = np.sum([_unpack(c.as_py()) for c in table["cells"]], axis=0)
-        return pa.table({"block": [key[0].as_py()], "n": [sum(table["n"].to_pylist())], "cells": [_pack(total)]}, schema=pa.schema([("block", pa.int32()), ("n", pa.int64()), ("cells", pa.binary())]))
-
-    schema = "block int, n long, cells binary"
-    parts = rows.select("t").mapInArrow(count, schema).groupBy("block").applyInArrow(add, schema)
-    got = sorted(C.materialize(parts, "shingle-cells").collect(), key=lambda r: r.block)  # 2^CELL_BITS cells
+        total = np.zeros((1 << CELL_BITS) // BLOCKS, np.int64)
+        for c in table["cells"]:
+            total += _unpack(c.as_py())
+        return pa.table({"block": [key[0].as_py()], "task": [key[1].as_py()], "n": [sum(table["n"].to_pylist())], "cells": [_pack(total)]}, schema=pa.schema([("block", pa.int32()), ("task", pa.int32()), ("n", pa.int64()), ("cells", pa.binary())]))
+
+    schema = "block int, task int, n long, cells binary"
+    sums = C.materialize(rows.select("t").mapInArrow(count, schema), "shingle-cells")
+    while sums.agg(F.max("task")).first()[0]:
+        more = C.materialize(sums.withColumn("task", (F.col("task") / FAN).cast("int")).groupBy("block", "task").applyInArrow(add, schema), "shingle-cells")
+        C.drop(sums)
+        sums = more
+    got = sorted(sums.collect(), key=lambda r: r.block)  # 2^CELL_BITS cells
+    C.drop(sums)
     if not got:
         return np.zeros(1 << CELL_BITS, np.int64), 0
     return np.concatenate([_unpack(bytes(r.cells)) for r in got]), sum(r.n for r in got)
 
 
 def _pack(cells: np.ndarray) -> bytes:
-    import zlib
-
     return zlib.compress(cells.astype("<i8").tobytes(), 1)
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    import zlib
-
     return np.frombuffer(zlib.decompress(data), "<i8")
 
 
@@ -235,7 +253,7 @@ def _sets(rows: DataFrame, idf) -> DataFrame:
                 for t in C.texts(part, "t"):
                     h, n = shingles(t)
                     hashes.append(h.astype("<u8").tobytes())
-                    levels.append(sampler.levels(h, n).astype("u1").tobytes())
+                    levels.append(sampler.levels(h, n).astype("<u2").tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hashes, pa.binary()), pa.array(levels, pa.binary())], names=["digest", "h", "l"])
 
     return rows.select("digest", "t").mapInArrow(run, "digest binary, h binary, l binary")
@@ -248,9 +266,9 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            c = [x.to_pylist() for x in batch.columns]
-            keep = [weighted_jaccard(*row) >= threshold for row in zip(c[2], c[3], c[4], c[5])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for part in C.sub_batches(batch, ("ha", "la", "hb", "lb")):
+                keep = [weighted_jaccard(*(x.as_py() for x in row)) >= threshold for row in zip(*part.columns[2:])]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ha", "la", "hb", "lb").mapInArrow(run, "a binary, b binary")
 
@@ -277,10 +295,10 @@ def _prefixes(sets: DataFrame, rarity, threshold: float) -> DataFrame:
 
     def run(batches):
         order = rarity.value
-        for batch in batches:
+        for batch in (part for big in batches for part in C.sub_batches(big, ("h", "l"))):
             names, found, short, weights, rest = [], [np.zeros(0, np.int64)], [], [], [np.zeros(0)]
             for d, h, lv in zip(*(c.to_pylist() for c in batch.columns)):
-                h, w = np.frombuffer(h, "<u8"), _WEIGHTS[np.frombuffer(lv, "u1")]
+                h, w = np.frombuffer(h, "<u8"), _WEIGHTS[np.frombuffer(lv, "<u2")]
                 by = np.lexsort((h, order[_cells(h)]))
                 total = np.cumsum(w[by])
                 ends = [min(len(h), int(np.searchsorted(total, share * total[-1] * (1 + 1e-9), "right")) + 1) for share in ((1 - threshold) / (1 + threshold), 1 - threshold)]
@@ -294,29 +312,43 @@ def _prefixes(sets: DataFrame, rarity, threshold: float) -> DataFrame:
     return sets.select("digest", "h", "l").mapInArrow(run, "shingle long, digest binary, short boolean, w double, rest double")
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node of each component, for the nodes that have edges. Every node takes the
-    smallest label around it (its own among them) and then that label's label of the round before; each round
-    is one query, stored in the shared folder. Its joins are between plain exchanges, so that AQE can split the
-    node or label of a large component. ``edges`` is read each round, so it should be a stored table."""
-    ends = edges.select(F.explode(F.array(*[F.struct(F.col(x).alias("node"), F.col(y).alias("near")) for x in "ab" for y in "ab"])).alias("e")).select("e.*")
-    labels = C.materialize(ends.groupBy("node").agg(F.min("near").alias("label")), "labels")
+def connected(links: DataFrame) -> DataFrame:
+    """(node, label): the smallest node of each component, for the nodes that have links. In each round every
+    node takes the smallest node around it, itself among them, and then that node's choice; links are drawn
+    between the choices, without loops and repeats, until none is left. A round reads each link twice and then
+    keeps one row per node. All joins are between plain exchanges, so that AQE can split a node with many
+    links. ``links`` is a stored table and stays; tables of former rounds are deleted."""
+    edges, labels = links, None
     while True:
-        around = ends.join(labels.select(F.col("node").alias("near"), "label"), "near")
-        step = around.groupBy("node").agg(F.max(F.when(F.col("node") == F.col("near"), F.col("label"))).alias("old"), F.min("label").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        new = C.materialize(step.join(jump, "label").select("node", "old", F.col("far").alias("label")), "labels")
-        labels = new.select("node", "label")
-        if new.where("old != label").isEmpty():
+        ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("near")), F.struct(F.col("b").alias("node"), F.col("a").alias("near")))).alias("e")).select("e.*")
+        up = C.materialize(ends.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("label")), "labels")
+        far = C.materialize(up.join(up.select(F.col("node").alias("label"), F.col("label").alias("far")), "label").select("node", F.col("far").alias("label")), "labels")
+        old, labels = labels, far if labels is None else relabelled(labels, far)
+        a, b = far.toDF("a", "la"), far.toDF("b", "lb")
+        rest = edges.join(a, "a").join(b, "b").where("la != lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))
+        rest = C.materialize(rest.distinct(), "near-rest")
+        C.drop(up, *([edges] if edges is not links else []), *([old, far] if old is not None else []))
+        edges = rest
+        if edges.isEmpty():
+            C.drop(edges)
             return labels
 
 
+def relabelled(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """Labels (node, label) after the labels themselves got labels, where they did."""
+    joined = labels.join(more.toDF("label", "far"), "label", "left")
+    return C.materialize(joined.select("node", F.coalesce("far", "label").alias("label")), "labels")
+
+
 def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(_id, _text, class_id, class_size, keep) of every document, _text being xxhash64 of the text.
+    """(_id, _text, class_id, class_size, keep) of every document with words, _text being xxhash64 of the text.
 
     ``class_id`` is the smallest id of the class, ``keep`` marks the class's first row by (id, _text), nulls
-    last. Null texts and texts without words are classes of their own (their own id); repeated rows are
-    copies of each other; ids that are all null give a null class_id. Thresholds below about 0.78 are an error.
+    last. Null texts and texts without words are classes of their own (their own id) and not returned; repeated
+    rows are copies of each other; ids that are all null give a null class_id. Ids are whole numbers (long).
+    Thresholds below about 0.78 are an error. Tables that hold intermediate results are deleted.
+
+    No text is shuffled but those that share a bucket: the others are told apart by a key filter.
     """
     least = likely(threshold)
     spark = docs.sparkSession
@@ -326,63 +358,85 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
     rarity = spark.sparkContext.broadcast(np.minimum(255, 8 * np.log2(df + 1)).astype(np.uint8))
     signed = C.materialize(_signatures(rows, idf), "near-signatures")
 
-    reps = signed.groupBy("digest").agg(F.min_by(F.struct("_id", "_text"), F.struct(F.col("_id").isNull(), "_id", "_text")).alias("at"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch"))
+    # Texts, and of these the ones that share a bucket with another; the hash of a bucket holds its band.
+    reps = signed.groupBy("digest").agg(F.min_by(F.struct("_id", "_text"), F.struct(F.col("_id").isNull(), "_id", "_text")).alias("at"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     reps = C.materialize(reps, "near-texts")
-    members = reps.select("digest", F.posexplode("bands").alias("band", "bucket"))
-    buckets = members.groupBy("band", "bucket").agg(F.min("digest").alias("leader"), F.max("digest").alias("last")).where("leader != last")
-    buckets = C.materialize(buckets.select(F.col("band").alias("_band"), F.col("bucket").alias("_bucket"), "leader"), "near-buckets")
-    in_bucket = (F.col("band") == F.col("_band")) & (F.col("bucket") == F.col("_bucket"))
-    shared = C.materialize(members.join(buckets, in_bucket).select("band", "bucket", "digest", "leader"), "near-shared")
-
-    wanted = C.materialize(shared.select("digest").distinct().join(reps.select("digest", "at"), "digest").select("digest", F.col("at._id").alias("_i"), F.col("at._text").alias("_x")), "near-wanted")
+    members = reps.select("digest", F.explode("bands").alias("bucket"))
+    crowded = C.materialize(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "near-buckets")
+    places = C.materialize(members.where(C.key_filter(crowded, "bucket")(F.col("bucket"))).join(crowded, "bucket").select("bucket", "digest"), "near-places")
+    names = C.materialize(places.select("digest").distinct(), "near-names")
+    wanted = reps.where(C.key_filter(names, "digest")(F.col("digest"))).join(names, "digest")
+    wanted = C.materialize(wanted.select("digest", F.col("at._id").alias("_i"), F.col("at._text").alias("_x"), "sketch"), "near-wanted")
+    C.drop(reps, crowded, names)
     same_row = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_x"))
-    sets = C.materialize(_sets(rows.join(wanted, same_row).select("digest", "t"), idf), "near-sets")
+    found = rows.where(C.key_filter(wanted, "_i", "_x")(F.col("_id"), F.col("_text"))).join(wanted.drop("sketch"), same_row)
+    sets = C.materialize(_sets(found.select("digest", "t"), idf), "near-sets")
     if sets.count() > wanted.count():  # repeated rows
-        sets = C.materialize(sets.dropDuplicates(["digest"]), "near-sets")
+        sets, old = C.materialize(sets.dropDuplicates(["digest"]), "near-sets"), sets
+        C.drop(old)
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        return C.materialize(_verify(_likely(pairs.distinct(), reps, least), sets, threshold), "near-links")
+        pairs = C.materialize(_likely(pairs.distinct(), wanted, least), "near-pairs")
+        links = C.materialize(_verify(pairs, sets, threshold), "near-links")
+        C.drop(pairs)
+        return links
 
     def with_label(places: DataFrame, labels: DataFrame) -> DataFrame:
-        joined = places.select("band", "bucket", "digest").join(labels.withColumnRenamed("node", "digest"), "digest", "left")
-        return C.materialize(joined.withColumn("label", F.coalesce("label", "digest")), "near-named")
-
-    links = links_of(shared.where("digest != leader").select(F.col("leader").alias("a"), F.col("digest").alias("b")))
-    labels = connected(links)
+        return C.materialize(places.select("bucket", "digest").join(labels.toDF("digest", "label"), "digest"), "near-named")
+
+    def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+        """Labels after links between texts of different labels."""
+        a, b = labels.toDF("a", "la"), labels.toDF("b", "lb")
+        across = links.join(a, "a").join(b, "b").where("la != lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))
+        across = C.materialize(across.distinct(), "near-across")
+        far = connected(across)
+        out = relabelled(labels, far)
+        C.drop(across, far, labels)
+        return out
+
+    leaders = places.groupBy("bucket").agg(F.min("digest").alias("leader"))
+    links = [links_of(places.join(leaders, "bucket").where("digest != leader").select(F.col("leader").alias("a"), F.col("digest").alias("b")))]
+    far = connected(links[0])
+    labels = C.materialize(wanted.select("digest").join(far.toDF("digest", "label"), "digest", "left").select(F.col("digest").alias("node"), F.coalesce("label", "digest").alias("label")), "labels")
+    C.drop(far)
 
     # Buckets of several classes: the others meet the text with most links and some texts of the largest class.
-    open_ = shared.select("band", "bucket", "digest")
+    open_ = places
     for _ in range(ROUNDS):
         named = with_label(open_, labels)
-        sizes = named.groupBy("band", "bucket", "label").agg(F.count("*").alias("n"))
-        mains = sizes.groupBy("band", "bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-        mains = C.materialize(mains.select(F.col("band").alias("_band"), F.col("bucket").alias("_bucket"), "main"), "near-mains")
-        degrees = links.select(F.explode(F.array("a", "b")).alias("digest")).groupBy("digest").agg(F.count("*").alias("degree"))
-        open_ = named.join(mains, in_bucket).select("band", "bucket", "digest", "label", "main").join(degrees, "digest", "left")
-        open_ = C.materialize(open_, "near-open")
+        sizes = named.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+        mains = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+        mains = C.materialize(mains.select("bucket", "main"), "near-mains")
+        degrees = reduce(DataFrame.unionByName, links).select(F.explode(F.array("a", "b")).alias("digest")).groupBy("digest").agg(F.count("*").alias("degree"))
+        left = C.materialize(named.join(mains, "bucket").join(degrees, "digest", "left").select("bucket", "digest", "label", "main", "degree"), "near-open")
+        C.drop(open_, named, mains)
+        open_ = left
         who = F.struct("digest", "label")
         picks = [F.max_by(who, F.struct(F.coalesce("degree", F.lit(0)), "digest"))] + [F.min_by(who, F.struct(F.col("label") != F.col("main"), F.xxhash64("digest", F.lit(k)))) for k in range(LEADERS - 1)]
-        heads = open_.groupBy(F.col("band").alias("_band"), F.col("bucket").alias("_bucket")).agg(F.array_distinct(F.array(*picks)).alias("heads"))
-        heads = C.materialize(heads, "near-heads")
-        met = open_.join(heads, in_bucket).select("digest", "label", F.explode("heads").alias("head")).where("label != head.label")
+        heads = C.materialize(open_.groupBy("bucket").agg(F.array_distinct(F.array(*picks)).alias("heads")), "near-heads")
+        met = open_.join(heads, "bucket").select("digest", F.explode(F.expr("filter(heads, h -> h.label != label)")).alias("head"))
         more = links_of(met.select(F.least("digest", "head.digest").alias("a"), F.greatest("digest", "head.digest").alias("b")))
+        C.drop(heads)
         if more.isEmpty():
+            C.drop(more)
             break
-        links = links.unionByName(more)  # stored tables, of ROUNDS + 1 at most
-        labels = connected(links)
+        links.append(more)
+        labels = merged(labels, more)
 
     # What then still is in buckets of several classes: texts of different classes that share a rare shingle.
-    named = with_label(open_.select("band", "bucket", "digest"), labels)
-    still = named.groupBy("band", "bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select(F.col("band").alias("_band"), F.col("bucket").alias("_bucket"))
-    texts = C.materialize(named.join(C.materialize(still, "near-still"), in_bucket).select("digest", "label").distinct(), "near-rest-texts")
-    rare = _prefixes(sets.join(texts.select("digest"), "digest"), rarity, threshold)
+    named = with_label(open_, labels)
+    still = C.materialize(named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket"), "near-still")
+    texts = C.materialize(named.join(still, "bucket").select("digest", "label").distinct(), "near-rest-texts")
+    C.drop(*links, open_, places, named, still)
+    some_sets = sets.where(C.key_filter(texts, "digest")(F.col("digest")))
+    rare = _prefixes(some_sets.join(texts.select("digest"), "digest"), rarity, threshold)
     rare = C.materialize(rare.join(texts, "digest").select("shingle", "digest", "label", "short", "w", "rest"), "near-rare")
-    met = rare.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("short").alias("any")).where("low != high and any").select(F.col("shingle").alias("_shingle"))
-    rare = C.materialize(rare.join(C.materialize(met, "near-met"), F.col("shingle") == F.col("_shingle")).select("shingle", "digest", "label", "short", "w", "rest"), "near-rare-met")
+    met = C.materialize(rare.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("short").alias("any")).where("low != high and any").select("shingle"), "near-met")
+    rare_met = C.materialize(rare.join(met, "shingle").select("shingle", "digest", "label", "short", "w", "rest"), "near-rare-met")
+    C.drop(texts, rare, met)
     # At the first shingle of both, what is left of either must hold the overlap that the threshold asks for:
     # the other text weighs at most ``room``. Classes, then texts, then pairs are held to this.
-    room = F.col("rest") / (threshold / (1 + threshold) * (1 - 1e-9)) - F.col("w")
-    rare = rare.withColumn("room", room)
+    rare = rare_met.withColumn("room", F.col("rest") / (threshold / (1 + threshold) * (1 - 1e-9)) - F.col("w"))
     short = [F.min(F.when(F.col("short"), F.col("w"))).alias("least"), F.max(F.when(F.col("short"), F.col("room"))).alias("own_room")]
     sides = rare.groupBy("shingle", "label").agg(F.max("short").alias("short"), *short, F.min("w").alias("lightest"), F.max("w").alias("heaviest"), F.max("room").alias("widest"))
     sides = C.materialize(sides, "near-sides")
@@ -397,20 +451,24 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
     last = last.join(right, (F.col("_s") == F.col("_t")) & (F.col("other") == F.col("_o")) & F.expr("wp <= wq and wq <= room_p and wp <= room_q"))
     last = links_of(last.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")))
     if not last.isEmpty():
-        labels = connected(links.unionByName(last))  # two stored tables
+        labels = merged(labels, last)
+    C.drop(last, rare_met, sides, across, sets, wanted)
 
-    named = signed.select("_id", "_text", "digest").join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("_id", "_text", F.coalesce("label", "digest").alias("label"))
-    named = C.materialize(named, "near-members")
+    named = signed.select("_id", "_text", "digest").join(labels.toDF("digest", "label"), "digest", "left").select("_id", "_text", F.coalesce("label", "digest").alias("label"))
+    members = C.materialize(named, "near-members")
+    C.drop(signed, labels)
     order = F.struct(F.col("_id").isNull().alias("none"), "_id", "_text")
-    heads = C.materialize(named.groupBy("label").agg(F.min(order).alias("head"), F.count("*").alias("class_size")).withColumnRenamed("label", "_label"), "near-heads")
-    wordy = named.join(heads, F.col("label") == F.col("_label")).select("_id", "_text", F.col("head._id").alias("class_id"), "class_size", (order == F.col("head")).alias("keep"))
-    return wordy
+    heads = members.groupBy("label").agg(F.min(order).alias("head"), F.count("*").alias("class_size"))
+    out = members.join(heads, "label").select("_id", "_text", F.col("head._id").alias("class_id"), "class_size", (order == F.col("head")).alias("keep"))
+    out = C.materialize(out, "near-classes")
+    C.drop(members)
+    return out
 
 
 def assign(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Add class_id, class_size and keep to documents (columns of these names are replaced); see ``classes``."""
     df = C.without(docs, ["class_id", "class_size", "keep"])
-    found = C.materialize(classes(docs, doc_id=doc_id, text=text, **options).distinct().withColumnsRenamed({"_id": "_i", "_text": "_x"}), "near-classes")
+    found = classes(docs, doc_id=doc_id, text=text, **options).distinct().withColumnsRenamed({"_id": "_i", "_text": "_x"})
     keyed = df.withColumn("_text", F.coalesce(F.xxhash64(text), F.lit(0)))
     joined = keyed.join(found, F.col(doc_id).cast("long").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_x")), "left").drop("_i", "_x", "_text")
     alone = F.col("keep").isNull()
@@ -419,11 +477,17 @@ def assign(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **opt
 
 def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One document of each class, with its own columns. Of repeated rows that are a class's first, one
-    stays; texts without words all stay."""
+    stays; texts without words all stay. Only rows that may be in a class of several are shuffled."""
     plain, restore = C.stow(docs, ["class_id", "class_size", "keep"])
-    kept = assign(plain, doc_id=doc_id, text=text, **options).where("keep")
-    copies = kept.where("class_size > 1").withColumn("_text", F.xxhash64(text)).dropDuplicates([doc_id, "_text"]).drop("_text")
-    return restore(kept.where("class_size = 1").unionByName(copies))
+    found = classes(docs, doc_id=doc_id, text=text, **options)
+    several = C.materialize(found.where("class_size > 1").select(F.col("_id").alias("_i"), F.col("_text").alias("_x"), "keep").distinct(), "near-several")
+    C.drop(found)
+    keyed = plain.withColumns({"_own": F.col(doc_id).cast("long"), "_text": F.coalesce(F.xxhash64(text), F.lit(0))})
+    among = C.key_filter(several, "_i", "_x")(F.col("_own"), F.col("_text"))
+    joined = keyed.where(among).join(several, F.col("_own").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_x")), "left")
+    firsts = joined.where("keep").dropDuplicates(["_own", "_text"])
+    out = keyed.where(~among).unionByName(joined.where("keep is null").select(*keyed.columns)).unionByName(firsts.select(*keyed.columns))
+    return restore(out)
 
 
 def report(docs: DataFrame) -> DataFrame:
