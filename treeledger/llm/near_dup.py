@@ -42,7 +42,7 @@ CELL_BITS = 20
 #: The sketch is added up in so many blocks, and so many sums at a time.
 BLOCKS, FAN = 16, 64
 #: Texts of a bucket that those of other classes are compared with, and how often this is repeated.
-LEADERS, ROUNDS = 8, 2
+LEADERS, ROUNDS = 8, 1
 #: Share of the links at the threshold that the comparison of samples may lose, and least share that banding finds.
 LOSS, FOUND = 1e-9, 0.99
 #: Levels per doubling of a weight, levels that there can be, and those that samplers have a table for.
