@@ -106,24 +106,29 @@ def removals(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", pai
     id comes first. Rows with equal id and text are one document here and are treated alike. The first
     occurrence of a line in the corpus is in no range that repeats an earlier one, so that no line is lost.
 
-    Occurrences travel as four numbers; only ranges whose hash repeats travel with their bytes. A hot range
-    is one row per task in the count, and the joins by chunk can be split by AQE, as both sides are plain
-    exchanges of stored tables.
+    Occurrences travel as four numbers; only ranges whose hash repeats travel with their bytes, and only
+    texts that have such a range are shuffled. A hot range is one row per task in the count, and the joins by
+    chunk can be split by AQE, as both sides are plain exchanges of stored tables. Ids are whole numbers (long).
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.xxhash64(text).alias("_text"), F.col(text).alias("t")).where("t is not null")
     places = C.materialize(_occurrences(rows, pairs), "chunk-places")
     first = places.groupBy("cid").agg(F.min(F.struct("_id", "_text", "pos")).alias("f"), F.max(F.struct("_id", "_text", "pos")).alias("l")).where("f != l").select(F.col("cid").alias("_cid"), "f")
     first = C.materialize(first, "chunk-first")
-    wanted = places.join(first, F.col("cid") == F.col("_cid")).select("cid", "_id", "_text", "pos", F.struct("_id", "_text", "pos").eqNullSafe(F.col("f")).alias("first"))
+    again = places.where(C.key_filter(first, "_cid")(F.col("cid")))
+    wanted = again.join(first, F.col("cid") == F.col("_cid")).select("cid", "_id", "_text", "pos", F.struct("_id", "_text", "pos").eqNullSafe(F.col("f")).alias("first"))
     wanted = wanted.distinct().groupBy("_id", "_text").agg(F.collect_list(F.struct("cid", "pos", "first")).alias("places"))
-    wanted = C.materialize(wanted, "chunk-wanted").withColumnsRenamed({"_id": "_i", "_text": "_x"})
+    wanted = C.materialize(wanted.withColumnsRenamed({"_id": "_i", "_text": "_x"}), "chunk-wanted")
+    C.drop(places, first)
     same_row = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_x"))
-    found = rows.join(wanted.hint("merge"), same_row).select("_id", "_text", "t", "places")  # one plan at every size
+    rows = rows.where(C.key_filter(wanted, "_i", "_x")(F.col("_id"), F.col("_text")))
+    found = rows.join(wanted, same_row).select("_id", "_text", "t", "places")
     found = C.materialize(_bytes_of(found, pairs), "chunk-bytes")
     kept = found.where("first").dropDuplicates(["cid"]).select(F.col("cid").alias("_cid"), F.col("bytes").alias("_bytes"))
     kept = C.materialize(kept, "chunk-kept")
     equal = found.where("not first").join(kept, (F.col("cid") == F.col("_cid")) & (F.col("bytes") == F.col("_bytes")), "left_semi")
-    return C.materialize(equal.groupBy("_id", "_text").agg(F.sort_array(F.collect_set("pos")).alias("places")), "chunk-removals")
+    out = C.materialize(equal.groupBy("_id", "_text").agg(F.sort_array(F.collect_set("pos")).alias("places")), "chunk-removals")
+    C.drop(wanted, found, kept)
+    return out
 
 
 def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", added: bool = False, pairs: bool = False) -> DataFrame:
@@ -133,12 +138,15 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     Null and empty texts stay as they are and have no lines; white-space-only chunks are never removed; a
     text of which all is removed becomes empty; single lines are never removed; an empty table gives an
-    empty one; repeated rows are treated alike.
+    empty one; repeated rows are treated alike. Only documents that may lose lines are shuffled.
     """
     extra = ["n_lines", "n_removed_lines", "n_removed_chunks"]
     plain, restore = (C.without(docs, extra), None) if added else C.stow(docs, extra)
     gone = removals(docs, doc_id=doc_id, text=text, pairs=pairs).withColumnsRenamed({"_id": "_i", "_text": "_x", "places": "_places"})
-    joined = plain.withColumn("_text", F.xxhash64(text)).join(gone.hint("merge"), F.col(doc_id).cast("long").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_x")), "left").drop("_i", "_x", "_text")
+    keyed = plain.withColumns({"_own": F.col(doc_id).cast("long"), "_text": F.xxhash64(text)})
+    among = C.key_filter(gone, "_i", "_x")(F.col("_own"), F.col("_text"))
+    some = keyed.where(among).join(gone, F.col("_own").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_x")), "left").drop("_i", "_x")
+    joined = keyed.where(~among).withColumn("_places", F.lit(None).cast("array<int>")).unionByName(some).drop("_own", "_text")
     schema = C.fields(joined.drop("_places").schema, *joined.limit(0).select(*[F.lit(0).cast("long").alias(c) for c in extra]).schema)
 
     def run(batches):
