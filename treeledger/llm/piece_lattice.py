@@ -6,7 +6,8 @@ stop or comma), so the forward pass runs once per distinct stretch, vectorised o
 scores of each. The N best of a text can differ from its best segmentation only in the N - 1 stretches of
 the smallest gap between these two; the A-star search runs in those, and once more over their results.
 
-Scores are the model file's. A character without a piece is spelled by its UTF-8 bytes as one edge.
+Scores are the model file's; its settings for normalising text are not used: a word mark is put first, blanks
+become word marks, and all else stays. A character without a piece is spelled by its UTF-8 bytes as one edge.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,25 +29,29 @@ MARK = "▁"
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _LONG = 48
 _NONE = -1e18
+#: Stretches that each of two generations of a worker's memory holds (about 300 bytes each), lists of segmentations
+#: that it holds, and places of stretches that are looked up at a time.
+MOST, MOST_LISTS, CELLS = 150_000, 30_000, 1 << 15
 
 
 class Pieces:
     """The vocabulary of a SentencePiece model as a lattice builder, encoder and decoder."""
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = MOST):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = model.get_piece_size()
         names = [model.id_to_piece(i) for i in range(size)]
-        self.bytes_id, self.piece, self.spelling = {}, {}, [b""] * size
+        self.bytes_id, self.piece, self.spelling, self.score = {}, {}, [b""] * size, [0.0] * size
         lowest = 0.0
         for i, p in enumerate(names):
             if model.is_byte(i):
                 self.bytes_id[int(p[3:-1], 16)] = i
                 self.spelling[i] = bytes([int(p[3:-1], 16)])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-                self.piece[p] = (i, model.get_score(i))
+                self.score[i] = model.get_score(i)
+                self.piece[p] = (i, self.score[i])
                 self.spelling[i] = p.replace(MARK, " ").encode()
                 lowest = min(lowest, model.get_score(i))
         if len(self.bytes_id) != 256:
@@ -153,51 +159,59 @@ class Pieces:
                 at += len(self.spelling[i].decode())
         return np.array(out)
 
-    def edges(self, s: str) -> list[list[tuple[int, int, float]]]:
-        """Edges of the lattice by their end, longest first: (id or -1, length, score)."""
-        get, out = self.piece.get, [[]]
-        for end in range(1, len(s) + 1):
-            here = []
-            for n in range(min(self.longest, end), 0, -1):
-                p = get(s[end - n : end])
-                if p is not None:
-                    here.append((p[0], n, p[1]))
-            if not here or here[-1][1] > 1:
-                here.append((-1, 1, self.unknown))
-            out.append(here)
+    def steps(self, s: str, end: int) -> list[tuple[int, int, float]]:
+        """The lattice's edges that end at a place, longest first: (id or -1, length, score)."""
+        get, out = self.piece.get, []
+        for n in range(min(self.longest, end), 0, -1):
+            p = get(s[end - n : end])
+            if p is not None:
+                out.append((p[0], n, p[1]))
+        if not out or out[-1][1] > 1:
+            out.append((-1, 1, self.unknown))
         return out
 
-    @staticmethod
-    def forward(edges) -> list[float]:
-        """Forward Viterbi scores of all places."""
-        best = [0.0]
-        for e in range(1, len(edges)):
-            best.append(max([best[e - n] + score for _, n, score in edges[e]]))
+    def forward(self, s: str) -> array:
+        """Forward Viterbi scores of all places of a stretch."""
+        best, steps = array("d", [0.0]), self.steps
+        for e in range(1, len(s) + 1):
+            best.append(max([best[e - n] + score for _, n, score in steps(s, e)]))
         return best
 
     def n_best_of(self, s: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a stretch: backward A-star from its end, with the forward scores as
-        heuristic. Equal scores come by the longer last pieces first."""
+        heuristic, which are exact, so that an entry's rank is what its path loses against the best one.
+
+        An entry stands for one edge at one place, the edges of a place being in the order of their loss; taking
+        it brings the place's next edge and the first edge of the place it leads to. A place is gone on from n
+        times at most, as a worse way to it is in none of the n best. So time and memory are linear in the length
+        of the stretch. Equal scores come by the longer last pieces first."""
         key = (s, n)
         if key in self.lists:
             return self.lists[key]
-        edges = self.edges(s)
-        best, out = self.forward(edges), []
-        heap = [(-best[-1], (), len(s), 0.0, None)]
+        best, out, seen, serial = self.forward(s), [], {}, 0
+        heap: list = [(0.0, 0, len(s), 0, None)]
         while heap and len(out) < n:
-            _, order, at, done, path = heapq.heappop(heap)
-            if at == 0:
-                ids, start = [], 0
-                while path:
-                    i, m, path = path
-                    ids += [i] if i >= 0 else [self.bytes_id[b] for b in s[start].encode()]
-                    start += m
-                out.append((done, ids))
+            lost, _, at, rank, path = heapq.heappop(heap)
+            edges = sorted([(best[at] - best[at - m] - score, -m, i) for i, m, score in self.steps(s, at)])
+            own, m, i = edges[rank]
+            if rank + 1 < len(edges):
+                serial -= 1
+                heapq.heappush(heap, (lost - own + edges[rank + 1][0], serial, at, rank + 1, path))
+            to, path = at + m, (i, -m, path)
+            if to:
+                if seen.get(to, 0) < n:
+                    seen[to] = seen.get(to, 0) + 1
+                    serial -= 1
+                    heapq.heappush(heap, (lost, serial, to, 0, path))
                 continue
-            for i, m, score in edges[at]:
-                g = done + score
-                heapq.heappush(heap, (-(best[at - m] + g), (*order, -m), at - m, g, (i, m, path)))
-        if len(self.lists) > 50_000:
+            ids, start, total = [], 0, 0.0
+            while path:
+                i, m, path = path
+                ids += [i] if i >= 0 else [self.bytes_id[b] for b in s[start].encode()]
+                total += self.score[i] if i >= 0 else self.unknown
+                start += m
+            out.append((total, ids))
+        if len(self.lists) > MOST_LISTS:
             self.lists.clear()
         if len(s) <= _LONG:
             self.lists[key] = out
@@ -205,39 +219,43 @@ class Pieces:
 
     def learn(self, stretches: set[str]):
         """Bring the forward results of stretches into the cache (two generations of bounded size)."""
-        missing = [s for s in stretches if s not in self.new]
         if len(self.new) > self.most:
             self.old, self.new = self.new, {}
-            missing = list(stretches)
-        fresh = []
+        missing, old, fresh = stretches.difference(self.new), self.old, []
         for s in missing:
-            v = self.old.get(s)
+            v = old.get(s)
             if v is not None:
                 self.new[s] = v
             elif len(s) <= _LONG:
                 fresh.append(s)
-        fresh.sort(key=len)
-        for k in range(0, len(fresh), 4096):
-            self.new.update(self._forward_many(fresh[k : k + 4096]))
+        fresh.sort(key=len, reverse=True)
+        k = 0
+        while k < len(fresh):
+            many = max(1, CELLS // len(fresh[k]))
+            self.new.update(self._forward_many(fresh[k : k + many]))
+            k += many
 
     def _long(self, s: str):
-        """A long stretch, without the cache: a forward pass with the two best scores."""
-        edges = self.edges(s)
-        best, second = [0.0] + [_NONE] * len(s), [_NONE] * (len(s) + 1)
-        back: list[tuple[int, int]] = [(0, 0)] * (len(s) + 1)
+        """A long stretch, without the memory: a forward pass with the two best scores."""
+        best, second = array("d", [0.0]), array("d", [_NONE])
+        back, width, steps = array("q", [0]), array("q", [0]), self.steps
         for e in range(1, len(s) + 1):
-            for i, n, score in edges[e]:
-                one, two = best[e - n] + score, second[e - n] + score
-                if one > best[e]:
-                    second[e] = max(second[e], two, best[e])
-                    best[e], back[e] = one, (i, n)
+            one = two = _NONE
+            for i, n, score in steps(s, e):
+                a, b = best[e - n] + score, second[e - n] + score
+                if a > one:
+                    one, two, i_best, n_best = a, max(two, b, one), i, n
                 else:
-                    second[e] = max(second[e], two, one)
+                    two = max(two, a, b)
+            best.append(one)
+            second.append(two)
+            back.append(i_best)
+            width.append(n_best)
         ids, at = [], len(s)
         while at:
-            i, n = back[at]
+            i = back[at]
             ids += [i] if i >= 0 else [self.bytes_id[b] for b in reversed(s[at - 1].encode())]
-            at -= n
+            at -= width[at]
         return np.array(ids[::-1], "<u4").tobytes(), best[-1], best[-1] - second[-1] if second[-1] > _NONE / 2 else np.inf
 
     def stretches(self, text: str) -> list[str]:
@@ -249,7 +267,10 @@ class Pieces:
         get = self.new.get
         if not parts:
             return np.zeros(0, "<u4"), [0.0], [[]]
-        spelled, own, gaps = zip(*[get(s) or self._long(s) for s in parts])
+        found = list(map(get, parts))
+        if None in found:
+            found = [v or self._long(s) for v, s in zip(found, parts)]
+        spelled, own, gaps = zip(*found)
         ids, total = np.frombuffer(b"".join(spelled), "<u4"), float(sum(own))
         gaps, near = np.array(gaps), []
         while len(near) < n - 1 and np.isfinite(gaps[k := int(gaps.argmin())]):
@@ -257,8 +278,8 @@ class Pieces:
             gaps[k] = np.inf
         near.sort()
         lists = [self._after(np.frombuffer(spelled[i], "<u4").tolist(), self.n_best_of(parts[i], n)) for i in near]
-        ends = np.cumsum([len(x) // 4 for x in spelled]).tolist() if near else []
-        places = [(ends[i] - len(spelled[i]) // 4, ends[i]) for i in near]
+        starts = [sum(map(len, spelled[:i])) // 4 for i in near]
+        places = [(at, at + len(spelled[i]) // 4) for at, i in zip(starts, near)]
         heap, seen, scores, changes = [(0.0, (0,) * len(near))], {(0,) * len(near)}, [], []
         while heap and len(scores) < n:
             lost, pick = heapq.heappop(heap)
@@ -349,7 +370,7 @@ def encode(docs: DataFrame, model: str, *, text: str = "text", n: int = N_BEST,
             for part in C.sub_batches(batch, text, 1 << 20):
                 raw = C.texts(part, text)
                 parts = [p.stretches(t.decode()) for t in raw]
-                p.learn({s for x in parts for s in x})
+                p.learn(set().union(*parts))
                 got = [p.encode(x, n) for x in parts]
                 same = [p.round_trip(t, ids, changes) for (ids, _, changes), t in zip(got, raw)]
                 each = [[p.change(ids, c) for c in changes] for ids, _, changes in got]
