@@ -7,6 +7,7 @@ documents can be removed.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ class _Index:
     """Windows of one block of items: for each length a hash filter and the exact windows."""
 
     def __init__(self, rows: list[tuple[str, bytes]], window: int):
-        self.windows: dict[int, dict[bytes, list[str]]] = {}
+        self.windows: dict[int, dict[bytes, list[str | None]]] = {}
         for item, text in rows:
             w = C.words(text)
             n = min(window, len(w))
@@ -58,10 +59,21 @@ class _Index:
                 found = exact.get(b" ".join(w[i : i + n]))
                 if found:
                     hit.append((i, i + n))
-                    items.update(found)
+                    items.update(i for i in found if i is not None)
         return _union(hit), items
 
 
+_held: dict[str, _Index] = {}
+
+
+def _index(key: str, shared, window: int) -> _Index:
+    """One index per worker process, kept between the tasks of a block."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = _Index(shared.value, window)
+    return _held[key]
+
+
 def _table(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     bits = np.zeros(1 << 20, bool)
     bits[h >> np.uint64(44)] = True
@@ -80,7 +92,7 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _blocks(benchmark: DataFrame, item: str, text: str, window: int, most: int) -> Iterator[list[tuple[str, bytes]]]:
     """Items in blocks of about ``most`` windows (word counts are an upper bound of windows)."""
-    rows = benchmark.select(F.col(item).cast("string").alias("i"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("t")).where("i is not null")
+    rows = benchmark.select(F.col(item).cast("string").alias("i"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("t"))
     total = rows.agg(F.sum(F.length("t") / 2 + 1)).first()[0] or 0
     n = int(total // most) + 1
     for b in range(n):
@@ -93,8 +105,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id:
     ``items`` (sorted ids of the items with occurring windows).
 
     A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one
-    window. Null and empty texts have no words and no hits; items with a null id or without words hit
-    nothing; repeated rows are annotated each; an empty benchmark hits nothing. Columns that bear the
+    window. Null and empty texts have no words and no hits; items without words hit nothing; the windows of an
+    item with a null id hit as any other's, but the item is in no list; repeated rows are annotated each; an empty benchmark hits nothing. Columns that bear the
     added names are replaced, all others pass. Only narrow work: documents are never shuffled.
     """
     df = C.without(docs, _ADDED)
@@ -103,8 +115,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id:
     for rows in _blocks(benchmark, item_id, item_text, window, block_windows):
         shared = spark.sparkContext.broadcast(rows)
 
-        def scan_part(batches, shared=shared):
-            index = _Index(shared.value, window)
+        def scan_part(batches, shared=shared, key=uuid.uuid4().hex):
+            index = _index(key, shared, window)
             for big in batches:
                 for batch in C.sub_batches(big, text):
                     yield _scan_batch(index, batch, text)
@@ -183,13 +195,13 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 #: DuckDB SQL for ``report``.
 REPORT_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 iw AS (SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[k : k + least(10, len(w)) - 1], ' ') AS g FROM (SELECT item, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS k FROM i WHERE len(w) > 0)),
 n AS (SELECT DISTINCT n FROM iw),
 dw AS (SELECT r, n.n, k, array_to_string(w[k : k + n.n - 1], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS k FROM d) x, n WHERE k + n.n - 1 <= len(w)),
 h AS (SELECT dw.r, dw.k, dw.n, iw.item FROM dw JOIN iw ON dw.n = iw.n AND dw.g = iw.g),
 p AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS q FROM (SELECT DISTINCT r, k, n FROM h)) GROUP BY r),
-t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h WHERE item IS NOT NULL) GROUP BY r)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(p.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(t.n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(t.items, '')) AS items_sha256, coalesce(p.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN p ON p.r = d.r LEFT JOIN t ON t.r = d.r
