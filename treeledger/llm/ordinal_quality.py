@@ -90,7 +90,7 @@ def fit(rows: list[tuple[np.ndarray, int]], grades: int = GRADES) -> Model:
     lengths = np.array([len(f) for f, _ in rows])
     at = np.concatenate([f for f, _ in rows]).astype(np.int64)
     seen = np.bincount(at, minlength=size)
-    live = np.flatnonzero(seen >= (LEAST_DF if len(rows) > 500 else 2))
+    live = np.flatnonzero(seen >= LEAST_DF)
     place = np.full(size, -1)
     place[live] = np.arange(len(live))
     row, col = np.repeat(np.arange(len(rows)), lengths), place[at]
@@ -128,7 +128,7 @@ def fit(rows: list[tuple[np.ndarray, int]], grades: int = GRADES) -> Model:
 def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Model:
     """Fit on a bounded sample of the rated documents. Ratings with nulls and ratings of absent or null
     texts are not used. The sampled ids are at most some tens of thousands of rows, so they are broadcast."""
-    rated = labels.select(F.col(doc_id).alias("_id"), grade().alias("_grade")).where("_id is not null and _grade is not null")
+    rated = labels.select(F.col(doc_id).alias("_id"), grade().alias("_grade")).where("_id is not null and _grade is not null").distinct()
     n = rated.count()
     if n > sample:
         rated = rated.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(sample / n * (1 << 20)))
@@ -174,5 +174,5 @@ def select_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The selected documents: doc_id, expected_grade, p_good, p_not_toxic."""
-    return score(docs.select("doc_id", "text"), train(docs, labels)).where("selected").drop("text", "selected")
+    """Every document: doc_id, expected_grade, p_good, p_not_toxic, selected."""
+    return score(docs.select("doc_id", "text"), train(docs, labels)).drop("text")
