@@ -40,13 +40,13 @@ def empty(df):
 
 def test_decontamination(spark, docs, bench):
     got = {r.doc_id: r for r in decontaminate.report(docs, bench).collect()}
-    assert (got[1].n_hit, got[1].n_items, got[1].contaminated) == (11, 1, True)
+    assert (got[1].n_hit, got[1].n_items, got[1].contaminated) == (12, 1, True)  # "the" is an item without an id
     assert got[1].items_sha256 == hashlib.sha256(b"10").hexdigest()
     assert (got[None].n_hit, got[2].n_words, got[3].n_hit) == (2, 0, 0)
     assert decontaminate.decontaminate(docs, bench).columns == docs.columns
     assert {r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()} == {2, 3, 4, 5, 7}
     cut = {r.doc_id: r.text for r in decontaminate.decontaminate(docs, bench, action="spans").collect()}
-    assert cut[1] == "the  away\nsecond line here\nthird line" and cut[2] is None
+    assert cut[1] == " away\nsecond line here\nthird line" and cut[2] is None
     assert decontaminate.report(empty(docs), bench).count() == 0
     assert not decontaminate.report(docs, empty(bench)).where("contaminated").count()
 
@@ -253,9 +253,9 @@ def test_line_dedup_cuts_repeated_passages_to_their_ends(spark):
 
 def test_near_dedup_samples_follow_the_threshold(docs):
     rng = np.random.default_rng(1)
-    assert near_dup.likely(0.8) == 42 and near_dup.likely(1.0) == near_dup.BANDS * near_dup.ROWS
+    assert near_dup.likely(0.8) == 33 and near_dup.likely(1.0) == near_dup.BANDS * near_dup.ROWS
     for t in (0.78, 0.8, 0.9, 0.97):
-        assert (rng.binomial(70, t, 400_000) < near_dup.likely(t)).mean() < 2 * near_dup.LOSS
+        assert (rng.binomial(70, t, 400_000) < near_dup.likely(t)).mean() < 1e-5
     for t in (0.5, 0.6, 0.7, 1.1, float("nan")):
         with pytest.raises(ValueError, match="bands"):
             near_dup.classes(docs, threshold=t)
@@ -281,7 +281,7 @@ def test_near_dedup_against_brute_force(spark):
         sets[i, t] = near_dup.shingles((t or "").encode())
         df += np.bincount(near_dup._cells(sets[i, t][0]), minlength=len(df))
     sampler = near_dup.Sampler(near_dup.idf_levels(df, len(rows)))
-    packed = {k: (h.tobytes(), sampler.levels(h, n).astype("u1").tobytes()) for k, (h, n) in sets.items() if len(h)}
+    packed = {k: (h.tobytes(), sampler.levels(h, n).astype("<u2").tobytes()) for k, (h, n) in sets.items() if len(h)}
     root = {k: k for k in got}
 
     def find(k):
@@ -318,7 +318,7 @@ def test_warc_damage_is_found():
     data = b"".join(warc.encode_archive([raw, raw], dictionary))
     assert list(warc.decode_archive(io.BytesIO(data))) == [raw, raw]
     assert struct.unpack("<I", data[:4])[0] == warc.DICTIONARY_MAGIC
-    for bad in (data[:-3], data[8:], data[:4]):
+    for bad in (data[:-3], data[8:], data[:4], data[:8] + data[9:]):
         with pytest.raises(warc.WarcError):
             list(warc.decode_archive(io.BytesIO(bad)))
     for bad in (raw.replace(b"page\r\n\r\n", b"pagf\r\n\r\n"), raw.replace(b"Content-Length: 4", b"Content-Length: 5"), raw[9:], raw.replace(b"WARC-Date", b"WARC-Dat")):
