@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import io
 import os
 import re
@@ -19,6 +22,8 @@ from pyspark.sql import types as T
 DEFAULT_SHARED = "file:///tmp/checkpoints"
 #: For Python workers, which live on from stage to stage: memory that is free goes back to the system.
 WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "4194304"}
+#: Text goes to workers in batches of about so many bytes: the setting, its default, and what takes the place of that.
+ARROW_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "64MB", "4MB")
 #: Bits of a key filter: about so many for each key, and no more than these (32 MB).
 KEY_BITS, MOST_BITS = 16, 1 << 28
 
@@ -32,6 +37,32 @@ def reachable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
     for k, v in WORKER_ENV.items():
         env.setdefault(k, v)
+    if spark.conf.get(ARROW_BYTES[0]) == ARROW_BYTES[1]:
+        spark.conf.set(ARROW_BYTES[0], ARROW_BYTES[2])
+
+
+_owner: str | None = None
+_clear: dict = {}
+
+
+def keeps(owner: str, clear) -> None:
+    """Say how to let go of what an operator's module keeps in a worker between tasks."""
+    _clear[owner] = clear
+
+
+def begin(owner: str) -> None:
+    """To be called in a worker where an operator's tasks start: workers live on from stage to stage, so what
+    other operators have kept goes, and free memory goes back to the system."""
+    global _owner
+    if _owner != owner:
+        for name, clear in _clear.items():
+            if name != owner:
+                clear()
+        if _owner is not None:
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+        _owner = owner
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -73,28 +104,38 @@ def drop(*tables: DataFrame) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
-def key_filter(keys: DataFrame, *columns: str):
-    """A test for rows whose columns may be among the keys' columns: a function of columns of the same types
-    that gives a boolean column. It never misses a key; about one row in KEY_BITS passes without being one, and
-    more where the keys are more than the filter has room for, so a join follows. What goes through the driver
-    and is broadcast is a bitmap of KEY_BITS per key, of at most MOST_BITS."""
-    n, bits = keys.count(), 1 << 15
-    while bits < min(KEY_BITS * n, MOST_BITS):
-        bits *= 2
-    place = lambda *c: F.pmod(F.xxhash64(*c), F.lit(bits))
-    at = place(*columns) + 1  # Spark's bitmaps count from one
-    rows = keys.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
-    table = np.zeros((bits >> 15, 4096), np.uint8)
-    for r in rows:
-        table[r.bucket - 1] = np.frombuffer(bytes(r.bits), np.uint8)
-    shared = keys.sparkSession.sparkContext.broadcast(table.reshape(-1))
+class KeyFilter:
+    """Tells rows whose columns may be among the keys' columns (of the same types) from rows whose columns are
+    not. It never misses a key; about one other row in KEY_BITS passes too, and more where the keys are more than
+    the filter has room for, so a join follows. It is a bitmap of KEY_BITS per key and of at most MOST_BITS, which
+    goes through the driver and is broadcast; rows do not leave the JVM."""
+
+    def __init__(self, keys: DataFrame, *columns: str):
+        n, self.bits = keys.count(), 1 << 15
+        while self.bits < min(KEY_BITS * n, MOST_BITS):
+            self.bits *= 2
+        at = self._place(columns) + 1  # Spark's bitmaps count from one
+        rows = keys.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+        words = [np.frombuffer(bytes(r.bits), "<i8").tolist() for r in rows]
+        self.table = F.broadcast(keys.sparkSession.createDataFrame([(r.bucket - 1, w) for r, w in zip(rows, words)], "_bucket long, _words array<long>"))
+
+    def _place(self, columns) -> Column:
+        return F.pmod(F.xxhash64(*columns), F.lit(self.bits))
+
+    def _tested(self, df: DataFrame, columns, how: str, hit: bool) -> DataFrame:
+        placed = df.withColumn("_place", self._place(columns))
+        word = F.element_at("_words", (F.shiftright(F.col("_place").bitwiseAND(32767), 6) + 1).cast("int"))
+        bit = F.coalesce(F.getbit(word, F.col("_place").bitwiseAND(63).cast("int")), F.lit(0))
+        joined = placed.join(self.table, F.shiftright("_place", 15) == F.col("_bucket"), how)
+        return joined.where(bit == int(hit)).select(*[F.col(f"`{c}`") for c in df.columns])
 
-    @F.arrow_udf("boolean")
-    def among(p: pa.Array) -> pa.Array:
-        p, held = p.to_numpy(zero_copy_only=False), shared.value
-        return pa.array(held[p >> 3] >> (p & 7).astype(np.uint8) & 1 == 1)
+    def among(self, df: DataFrame, *columns: str) -> DataFrame:
+        """The rows whose columns may be a key."""
+        return self._tested(df, columns, "inner", True)
 
-    return lambda *c: among(place(*c))
+    def others(self, df: DataFrame, *columns: str) -> DataFrame:
+        """The rows whose columns are none."""
+        return self._tested(df, columns, "left", False)
 
 
 def local_path(path: str) -> str | None:
@@ -223,7 +264,7 @@ def words(text: bytes) -> list[bytes]:
     return WORD.findall(text.lower())
 
 
-def word_hashes(data: bytes, block: int = 1 << 20) -> np.ndarray:
+def word_hashes(data: bytes, block: int = 1 << 18) -> np.ndarray:
     """64-bit hashes of the words of ``data``, in order. Works block by block, so that the temporary
     memory doesn't follow the length of a text."""
     if len(data) <= block:

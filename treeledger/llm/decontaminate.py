@@ -64,6 +64,7 @@ class _Index:
 
 
 _held: dict[str, _Index] = {}
+C.keeps("benchmark", _held.clear)
 
 
 def _index(key: str, shared, window: int) -> _Index:
@@ -116,6 +117,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id:
         shared = spark.sparkContext.broadcast(rows)
 
         def scan_part(batches, shared=shared, key=uuid.uuid4().hex):
+            C.begin("benchmark")
             index = _index(key, shared, window)
             for big in batches:
                 for batch in C.sub_batches(big, text):
@@ -168,6 +170,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, action: str = "docum
         return restore(hit.where(F.size("hit_spans") == 0))
 
     def cut(batches):
+        C.begin("benchmark")
         for big in batches:
             for b in C.sub_batches(big, text):
                 k, s = b.schema.get_field_index(text), b.column(b.schema.get_field_index("hit_spans")).to_pylist()

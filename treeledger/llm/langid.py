@@ -95,6 +95,7 @@ def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> Model:
     """Count the trigrams of every row with a language. Tasks send sums per language and bin."""
 
     def count(batches):
+        C.begin("languages")
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for part in C.sub_batches(batch, "t"):
@@ -130,6 +131,7 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        C.begin("languages")
         m = shared.value
         for batch in batches:
             for part in C.sub_batches(batch, text):

@@ -68,6 +68,7 @@ def _occurrences(docs: DataFrame, pairs: bool) -> DataFrame:
     schema = pa.schema([("cid", pa.int64()), ("_id", pa.int64()), ("_text", pa.int64()), ("pos", pa.int32())])
 
     def run(batches):
+        C.begin("lines")
         for batch in batches:
             for part in C.sub_batches(batch, "t"):
                 cid, row, pos = [], [], []
@@ -87,6 +88,7 @@ def _bytes_of(docs: DataFrame, pairs: bool) -> DataFrame:
     """The bytes of the listed ranges of each document."""
 
     def run(batches):
+        C.begin("lines")
         for batch in batches:
             for part in C.sub_batches(batch, "t"):
                 rows = []
@@ -114,13 +116,13 @@ def removals(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", pai
     places = C.materialize(_occurrences(rows, pairs), "chunk-places")
     first = places.groupBy("cid").agg(F.min(F.struct("_id", "_text", "pos")).alias("f"), F.max(F.struct("_id", "_text", "pos")).alias("l")).where("f != l").select(F.col("cid").alias("_cid"), "f")
     first = C.materialize(first, "chunk-first")
-    again = places.where(C.key_filter(first, "_cid")(F.col("cid")))
+    again = C.KeyFilter(first, "_cid").among(places, "cid")
     wanted = again.join(first, F.col("cid") == F.col("_cid")).select("cid", "_id", "_text", "pos", F.struct("_id", "_text", "pos").eqNullSafe(F.col("f")).alias("first"))
     wanted = wanted.distinct().groupBy("_id", "_text").agg(F.collect_list(F.struct("cid", "pos", "first")).alias("places"))
     wanted = C.materialize(wanted.withColumnsRenamed({"_id": "_i", "_text": "_x"}), "chunk-wanted")
     C.drop(places, first)
     same_row = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_x"))
-    rows = rows.where(C.key_filter(wanted, "_i", "_x")(F.col("_id"), F.col("_text")))
+    rows = C.KeyFilter(wanted, "_i", "_x").among(rows, "_id", "_text")
     found = rows.join(wanted, same_row).select("_id", "_text", "t", "places")
     found = C.materialize(_bytes_of(found, pairs), "chunk-bytes")
     kept = found.where("first").dropDuplicates(["cid"]).select(F.col("cid").alias("_cid"), F.col("bytes").alias("_bytes"))
@@ -144,12 +146,13 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     plain, restore = (C.without(docs, extra), None) if added else C.stow(docs, extra)
     gone = removals(docs, doc_id=doc_id, text=text, pairs=pairs).withColumnsRenamed({"_id": "_i", "_text": "_x", "places": "_places"})
     keyed = plain.withColumns({"_own": F.col(doc_id).cast("long"), "_text": F.xxhash64(text)})
-    among = C.key_filter(gone, "_i", "_x")(F.col("_own"), F.col("_text"))
-    some = keyed.where(among).join(gone, F.col("_own").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_x")), "left").drop("_i", "_x")
-    joined = keyed.where(~among).withColumn("_places", F.lit(None).cast("array<int>")).unionByName(some).drop("_own", "_text")
+    told = C.KeyFilter(gone, "_i", "_x")
+    some = told.among(keyed, "_own", "_text").join(gone, F.col("_own").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_x")), "left").drop("_i", "_x")
+    joined = told.others(keyed, "_own", "_text").withColumn("_places", F.lit(None).cast("array<int>")).unionByName(some).drop("_own", "_text")
     schema = C.fields(joined.drop("_places").schema, *joined.limit(0).select(*[F.lit(0).cast("long").alias(c) for c in extra]).schema)
 
     def run(batches):
+        C.begin("lines")
         for batch in batches:
             for part in C.sub_batches(batch, text):
                 k, g = part.schema.get_field_index(text), part.schema.get_field_index("_places")

@@ -103,6 +103,9 @@ def _variates() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return r, c, beta, ln_a
 
 
+C.keeps("near", _variates.cache_clear)
+
+
 def _steps(r, beta, level):
     """The quantised place t of a weight of this level."""
     return np.floor(level * (np.log(2) / PER_DOUBLING) / r + beta)
@@ -179,6 +182,7 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     is left, so that no task holds more than FAN sums of a block."""
 
     def count(batches):
+        C.begin("near")
         cells, n = np.zeros(1 << CELL_BITS, np.int64), 0
         for batch in batches:
             for part in C.sub_batches(batch, "t"):
@@ -222,6 +226,7 @@ def _signatures(rows: DataFrame, idf) -> DataFrame:
     schema = pa.schema([("_id", pa.int64()), ("_text", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def run(batches):
+        C.begin("near")
         sampler = Sampler(idf.value)
         for batch in batches:
             for part in C.sub_batches(batch, "t"):
@@ -246,6 +251,7 @@ def _sets(rows: DataFrame, idf) -> DataFrame:
     """(digest, hashes, levels) of candidate texts; rows have digest and t."""
 
     def run(batches):
+        C.begin("near")
         sampler = Sampler(idf.value)
         for batch in batches:
             for part in C.sub_batches(batch, "t", 1 << 20):
@@ -265,6 +271,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     right = sets.select(F.col("digest").alias("b"), F.col("h").alias("hb"), F.col("l").alias("lb"))
 
     def run(batches):
+        C.begin("near")
         for batch in batches:
             for part in C.sub_batches(batch, ("ha", "la", "hb", "lb")):
                 keep = [weighted_jaccard(*(x.as_py() for x in row)) >= threshold for row in zip(*part.columns[2:])]
@@ -279,6 +286,7 @@ def _likely(pairs: DataFrame, reps: DataFrame, least: int) -> DataFrame:
     right = reps.select(F.col("digest").alias("b"), F.col("sketch").alias("sb"))
 
     def run(batches):
+        C.begin("near")
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
             keep = (x == y).sum(1) >= least
@@ -294,6 +302,7 @@ def _prefixes(sets: DataFrame, rarity, threshold: float) -> DataFrame:
     frequent passages last."""
 
     def run(batches):
+        C.begin("near")
         order = rarity.value
         for batch in (part for big in batches for part in C.sub_batches(big, ("h", "l"))):
             names, found, short, weights, rest = [], [np.zeros(0, np.int64)], [], [], [np.zeros(0)]
@@ -363,13 +372,13 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
     reps = C.materialize(reps, "near-texts")
     members = reps.select("digest", F.explode("bands").alias("bucket"))
     crowded = C.materialize(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "near-buckets")
-    places = C.materialize(members.where(C.key_filter(crowded, "bucket")(F.col("bucket"))).join(crowded, "bucket").select("bucket", "digest"), "near-places")
+    places = C.materialize(C.KeyFilter(crowded, "bucket").among(members, "bucket").join(crowded, "bucket").select("bucket", "digest"), "near-places")
     names = C.materialize(places.select("digest").distinct(), "near-names")
-    wanted = reps.where(C.key_filter(names, "digest")(F.col("digest"))).join(names, "digest")
+    wanted = C.KeyFilter(names, "digest").among(reps, "digest").join(names, "digest")
     wanted = C.materialize(wanted.select("digest", F.col("at._id").alias("_i"), F.col("at._text").alias("_x"), "sketch"), "near-wanted")
     C.drop(reps, crowded, names)
     same_row = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_x"))
-    found = rows.where(C.key_filter(wanted, "_i", "_x")(F.col("_id"), F.col("_text"))).join(wanted.drop("sketch"), same_row)
+    found = C.KeyFilter(wanted, "_i", "_x").among(rows, "_id", "_text").join(wanted.drop("sketch"), same_row)
     sets = C.materialize(_sets(found.select("digest", "t"), idf), "near-sets")
     if sets.count() > wanted.count():  # repeated rows
         sets, old = C.materialize(sets.dropDuplicates(["digest"]), "near-sets"), sets
@@ -428,7 +437,7 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
     still = C.materialize(named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket"), "near-still")
     texts = C.materialize(named.join(still, "bucket").select("digest", "label").distinct(), "near-rest-texts")
     C.drop(*links, open_, places, named, still)
-    some_sets = sets.where(C.key_filter(texts, "digest")(F.col("digest")))
+    some_sets = C.KeyFilter(texts, "digest").among(sets, "digest")
     rare = _prefixes(some_sets.join(texts.select("digest"), "digest"), rarity, threshold)
     rare = C.materialize(rare.join(texts, "digest").select("shingle", "digest", "label", "short", "w", "rest"), "near-rare")
     met = C.materialize(rare.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("short").alias("any")).where("low != high and any").select("shingle"), "near-met")
@@ -483,10 +492,10 @@ def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     several = C.materialize(found.where("class_size > 1").select(F.col("_id").alias("_i"), F.col("_text").alias("_x"), "keep").distinct(), "near-several")
     C.drop(found)
     keyed = plain.withColumns({"_own": F.col(doc_id).cast("long"), "_text": F.coalesce(F.xxhash64(text), F.lit(0))})
-    among = C.key_filter(several, "_i", "_x")(F.col("_own"), F.col("_text"))
-    joined = keyed.where(among).join(several, F.col("_own").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_x")), "left")
+    told = C.KeyFilter(several, "_i", "_x")
+    joined = told.among(keyed, "_own", "_text").join(several, F.col("_own").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_x")), "left")
     firsts = joined.where("keep").dropDuplicates(["_own", "_text"])
-    out = keyed.where(~among).unionByName(joined.where("keep is null").select(*keyed.columns)).unionByName(firsts.select(*keyed.columns))
+    out = told.others(keyed, "_own", "_text").unionByName(joined.where("keep is null").select(*keyed.columns)).unionByName(firsts.select(*keyed.columns))
     return restore(out)
 
 

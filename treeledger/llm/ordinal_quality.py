@@ -135,6 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("t")).where("t is not null").join(F.broadcast(rated.limit(2 * sample)), "_id").select("t", "_grade")
 
     def extract(batches):
+        C.begin("quality")
         for batch in batches:
             for part in C.sub_batches(batch, "t"):
                 yield pa.RecordBatch.from_arrays([pa.array([features(t).tobytes() for t in C.texts(part, "t")], pa.binary()), part.column(1).cast(pa.int32())], names=["f", "g"])
@@ -155,6 +156,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", select: float =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        C.begin("quality")
         m = shared.value
         for batch in batches:
             for part in C.sub_batches(batch, text):

@@ -31,7 +31,7 @@ _LONG = 48
 _NONE = -1e18
 #: Stretches that each of two generations of a worker's memory holds (about 300 bytes each), lists of segmentations
 #: that it holds, and places of stretches that are looked up at a time.
-MOST, MOST_LISTS, CELLS = 150_000, 30_000, 1 << 15
+MOST, MOST_LISTS, CELLS = 75_000, 20_000, 1 << 15
 
 
 class Pieces:
@@ -331,6 +331,7 @@ class Pieces:
 
 
 _loaded: dict[str, Pieces] = {}
+C.keeps("pieces", _loaded.clear)
 
 
 def pieces(path: str) -> Pieces:
@@ -365,6 +366,7 @@ def encode(docs: DataFrame, model: str, *, text: str = "text", n: int = N_BEST,
     schema = df.limit(0).withColumns(cols).schema
 
     def run(batches):
+        C.begin("pieces")
         p = pieces(model)
         for batch in batches:
             for part in C.sub_batches(batch, text, 1 << 20):
@@ -395,6 +397,7 @@ def decode(df: DataFrame, model: str, *, ids: str = "ids", text: str = "text") -
     schema[text].nullable = True
 
     def run(batches):
+        C.begin("pieces")
         p = pieces(model)
         for batch in batches:
             for k in range(0, batch.num_rows, 64):

@@ -391,6 +391,7 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample
         rows = rows.where(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
 
     def cut(batches):
+        C.begin("secrets")
         for batch in batches:
             for part in C.sub_batches(batch, "t"):
                 for h, t in zip(part.column(0).to_pylist(), C.texts(part, "t")):
@@ -418,6 +419,7 @@ def scan(docs: DataFrame, field: Field, *, text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches):
+        C.begin("secrets")
         model = shared.value
         for batch in batches:
             for part in C.sub_batches(batch, text):
@@ -441,6 +443,7 @@ def redact(docs: DataFrame, field: Field, *, text: str = "text", mark: str = "<s
     found = scan(plain, field, text=text)
 
     def cut(batches):
+        C.begin("secrets")
         for batch in batches:
             k, spans = batch.schema.get_field_index(text), batch.column(batch.schema.get_field_index("secrets")).to_pylist()
             new = []

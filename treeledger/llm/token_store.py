@@ -222,6 +222,7 @@ class ChunkEncoder:
 
 
 _encoders: dict[str, ChunkEncoder] = {}
+C.keeps("tokens", _encoders.clear)
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -251,6 +252,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, *, do
     rows = rows.repartitionByRange("id", F.xxhash64("t")).sortWithinPartitions("id", F.xxhash64("t"), "t")
 
     def write(batches):
+        C.begin("tokens")
         first = next(batches, None)
         while first is not None and not first.num_rows:
             first = next(batches, None)
@@ -287,6 +289,7 @@ def read_tokens(manifest: DataFrame, *, with_ids: bool = True) -> DataFrame:
     shape = [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int64()))] * with_ids
 
     def read(batches):
+        C.begin("tokens")
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 with C.open_bytes(path) as f:

@@ -223,6 +223,7 @@ def write_archives(records: DataFrame, path: str | None = None, dictionary: byte
     path = path or C.scratch(records.sparkSession, "warc")
 
     def write(batches):
+        C.begin("warc")
         def rows():
             for batch in batches:
                 for part in C.sub_batches(batch, "payload"):
@@ -291,6 +292,7 @@ def read_archives(manifest: DataFrame, *, with_payload: bool = False) -> DataFra
         return own + ((h.get("warc-target-uri"), block if kind == "response" else None) if with_payload else ())
 
     def read(batches):
+        C.begin("warc")
         yield from _rows(batches, row, shape, len if with_payload else lambda _: 0)
 
     return manifest.select("path", "n_records").repartition(max(1, n), "path").mapInArrow(read, schema)
@@ -330,6 +332,7 @@ def read_folder(spark: SparkSession, folder: str, pattern: str = "*.warc.zst") -
         return (path, h["warc-type"], h["warc-record-id"], h["warc-date"], h.get("warc-target-uri"), h.get("content-type"), h.get("warc-payload-digest"), h.get("warc-refers-to"), status, None if http is None else http.decode("utf-8", "replace"), payload, list(h.items()))
 
     def read(batches):
+        C.begin("warc")
         yield from _rows(batches, row, _RECORDS, len)
 
     return paths.repartition(max(1, paths.count()), "path").mapInArrow(read, schema)
