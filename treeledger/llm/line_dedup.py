@@ -118,18 +118,17 @@ def removals(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", pai
     first = C.materialize(first, "chunk-first")
     again = C.KeyFilter(first, "_cid").among(places, "cid")
     wanted = again.join(first, F.col("cid") == F.col("_cid")).select("cid", "_id", "_text", "pos", F.struct("_id", "_text", "pos").eqNullSafe(F.col("f")).alias("first"))
-    wanted = wanted.distinct().groupBy("_id", "_text").agg(F.collect_list(F.struct("cid", "pos", "first")).alias("places"))
+    wanted = wanted.groupBy("_id", "_text").agg(F.collect_set(F.struct("cid", "pos", "first")).alias("places"))
     wanted = C.materialize(wanted.withColumnsRenamed({"_id": "_i", "_text": "_x"}), "chunk-wanted")
     C.drop(places, first)
     same_row = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_x"))
     rows = C.KeyFilter(wanted, "_i", "_x").among(rows, "_id", "_text")
     found = rows.join(wanted, same_row).select("_id", "_text", "t", "places")
     found = C.materialize(_bytes_of(found, pairs), "chunk-bytes")
-    kept = found.where("first").dropDuplicates(["cid"]).select(F.col("cid").alias("_cid"), F.col("bytes").alias("_bytes"))
-    kept = C.materialize(kept, "chunk-kept")
+    kept = found.where("first").select(F.col("cid").alias("_cid"), F.col("bytes").alias("_bytes"))
     equal = found.where("not first").join(kept, (F.col("cid") == F.col("_cid")) & (F.col("bytes") == F.col("_bytes")), "left_semi")
     out = C.materialize(equal.groupBy("_id", "_text").agg(F.sort_array(F.collect_set("pos")).alias("places")), "chunk-removals")
-    C.drop(wanted, found, kept)
+    C.drop(wanted, found)
     return out
 
 

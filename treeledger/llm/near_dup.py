@@ -5,8 +5,8 @@ a logarithmic level. Samples are banded; candidates are verified by weighted Jac
 classes are the connected components of the verified links.
 
 Exact copies (equal words) are one text from the start. In each bucket every text is first compared with
-the bucket's leader, and what is then outside of the bucket's largest class with LEADERS texts of that
-class. The texts of buckets that still hold several classes meet in a second, exact way: a prefix filter.
+the bucket's leader, and what is then outside of the class of the text with most links with up to LEADERS texts
+of that class. The texts of buckets that still hold several classes meet in a second, exact way: a prefix filter.
 Texts of similarity t overlap in t of the heavier text's weight and 2t / (1 + t) of the lighter one's, so
 they share a shingle that is among the rarest (1 - t) of the former and (1 - t) / (1 + t) of the latter; only
 texts of different classes that do are compared. Thus no link is lost, no pairs are made within a class, and
@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from functools import lru_cache, reduce
+from functools import lru_cache
 from math import comb
 
 import numpy as np
@@ -41,8 +41,8 @@ BANDS, ROWS = 14, 5
 CELL_BITS = 20
 #: The sketch is added up in so many blocks, and so many sums at a time.
 BLOCKS, FAN = 16, 64
-#: Texts of a bucket that those of other classes are compared with, and how often this is repeated.
-LEADERS, ROUNDS = 8, 1
+#: Texts of a bucket that those of other classes are compared with.
+LEADERS = 8
 #: Share of the links at the threshold that the comparison of samples may lose, and least share that banding finds.
 LOSS, FOUND = 1e-9, 0.99
 #: Levels per doubling of a weight, levels that there can be, and those that samplers have a table for.
@@ -223,7 +223,7 @@ def _unpack(data: bytes) -> np.ndarray:
 
 def _signatures(rows: DataFrame, idf) -> DataFrame:
     """(_id, _text, digest, bands, sketch) of every text with words."""
-    schema = pa.schema([("_id", pa.int64()), ("_text", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    schema = pa.schema([("_id", pa.int64()), ("_text", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int8()))])
 
     def run(batches):
         C.begin("near")
@@ -238,13 +238,13 @@ def _signatures(rows: DataFrame, idf) -> DataFrame:
                         digests.append(_digest(t))
                         keys, sketch = sampler.band_hashes(h, sampler.levels(h, n))
                         bands.append(keys.view(np.int64))
-                        sketches.append(sketch)
+                        sketches.append(np.frombuffer(sketch, np.int8))
                 rows_at = pa.array(at, pa.int64())
                 flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * BANDS), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(rows_at), part.column(1).take(rows_at), pa.array(digests, pa.binary()), lists, pa.array(sketches, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows_at), part.column(1).take(rows_at), pa.array(digests, pa.binary()), lists, pa.array(sketches, pa.list_(pa.int8()))], schema=schema)
 
-    return rows.mapInArrow(run, "_id long, _text long, digest binary, bands array<long>, sketch binary")
+    return rows.mapInArrow(run, "_id long, _text long, digest binary, bands array<long>, sketch array<tinyint>")
 
 
 def _sets(rows: DataFrame, idf) -> DataFrame:
@@ -266,7 +266,8 @@ def _sets(rows: DataFrame, idf) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of at least the threshold's similarity."""
+    """The pairs (a, b) of at least the threshold's similarity. A text that is in many pairs is to be an a: pairs
+    meet its set while they are small, and what they then carry is dealt out by b."""
     left = sets.select(F.col("digest").alias("a"), F.col("h").alias("ha"), F.col("l").alias("la"))
     right = sets.select(F.col("digest").alias("b"), F.col("h").alias("hb"), F.col("l").alias("lb"))
 
@@ -277,22 +278,13 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
                 keep = [weighted_jaccard(*(x.as_py() for x in row)) >= threshold for row in zip(*part.columns[2:])]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "ha", "la", "hb", "lb").mapInArrow(run, "a binary, b binary")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "la", "hb", "lb").mapInArrow(run, "a binary, b binary")
 
 
-def _likely(pairs: DataFrame, reps: DataFrame, least: int) -> DataFrame:
-    """The pairs whose samples agree often enough."""
-    left = reps.select(F.col("digest").alias("a"), F.col("sketch").alias("sa"))
-    right = reps.select(F.col("digest").alias("b"), F.col("sketch").alias("sb"))
-
-    def run(batches):
-        C.begin("near")
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
-            keep = (x == y).sum(1) >= least
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
+def _agree(a: str, b: str, least: int):
+    """Whether two sketches agree in so many samples."""
+    same = F.zip_with(a, b, lambda x, y: (x == y).cast("int"))
+    return F.aggregate(same, F.lit(0), lambda n, x: n + x) >= least
 
 
 def _prefixes(sets: DataFrame, rarity, threshold: float) -> DataFrame:
@@ -370,13 +362,11 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
     # Texts, and of these the ones that share a bucket with another; the hash of a bucket holds its band.
     reps = signed.groupBy("digest").agg(F.min_by(F.struct("_id", "_text"), F.struct(F.col("_id").isNull(), "_id", "_text")).alias("at"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     reps = C.materialize(reps, "near-texts")
-    members = reps.select("digest", F.explode("bands").alias("bucket"))
+    members = reps.select("digest", "sketch", F.col("at._id").alias("_i"), F.col("at._text").alias("_x"), F.explode("bands").alias("bucket"))
     crowded = C.materialize(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "near-buckets")
-    places = C.materialize(C.KeyFilter(crowded, "bucket").among(members, "bucket").join(crowded, "bucket").select("bucket", "digest"), "near-places")
-    names = C.materialize(places.select("digest").distinct(), "near-names")
-    wanted = C.KeyFilter(names, "digest").among(reps, "digest").join(names, "digest")
-    wanted = C.materialize(wanted.select("digest", F.col("at._id").alias("_i"), F.col("at._text").alias("_x"), "sketch"), "near-wanted")
-    C.drop(reps, crowded, names)
+    places = C.materialize(C.KeyFilter(crowded, "bucket").among(members, "bucket").join(crowded, "bucket").select("bucket", "digest", "sketch", "_i", "_x"), "near-places")
+    wanted = C.materialize(places.groupBy("digest").agg(F.first("_i").alias("_i"), F.first("_x").alias("_x"), F.first("sketch").alias("sketch")), "near-wanted")
+    C.drop(reps, crowded)
     same_row = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_x"))
     found = C.KeyFilter(wanted, "_i", "_x").among(rows, "_id", "_text").join(wanted.drop("sketch"), same_row)
     sets = C.materialize(_sets(found.select("digest", "t"), idf), "near-sets")
@@ -385,13 +375,11 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
         C.drop(old)
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        pairs = C.materialize(_likely(pairs.distinct(), wanted, least), "near-pairs")
-        links = C.materialize(_verify(pairs, sets, threshold), "near-links")
-        C.drop(pairs)
-        return links
+        """Links among pairs (a, sa, b, sb) of texts with their sketches."""
+        return C.materialize(_verify(pairs.where(_agree("sa", "sb", least)).select("a", "b").distinct(), sets, threshold), "near-links")
 
-    def with_label(places: DataFrame, labels: DataFrame) -> DataFrame:
-        return C.materialize(places.select("bucket", "digest").join(labels.toDF("digest", "label"), "digest"), "near-named")
+    def with_label(labels: DataFrame) -> DataFrame:
+        return C.materialize(places.select("bucket", "digest", "sketch").join(labels.toDF("digest", "label"), "digest"), "near-named")
 
     def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
         """Labels after links between texts of different labels."""
@@ -403,46 +391,38 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
         C.drop(across, far, labels)
         return out
 
-    leaders = places.groupBy("bucket").agg(F.min("digest").alias("leader"))
-    links = [links_of(places.join(leaders, "bucket").where("digest != leader").select(F.col("leader").alias("a"), F.col("digest").alias("b")))]
-    far = connected(links[0])
+    leaders = places.groupBy("bucket").agg(F.min(F.struct("digest", "sketch")).alias("leader"))
+    pairs = places.join(leaders, "bucket").where("digest != leader.digest")
+    links = links_of(pairs.select(F.col("leader.digest").alias("a"), F.col("leader.sketch").alias("sa"), F.col("digest").alias("b"), F.col("sketch").alias("sb")))
+    far = connected(links)
     labels = C.materialize(wanted.select("digest").join(far.toDF("digest", "label"), "digest", "left").select(F.col("digest").alias("node"), F.coalesce("label", "digest").alias("label")), "labels")
     C.drop(far)
 
-    # Buckets of several classes: the others meet the text with most links and some texts of the largest class.
-    open_ = places
-    for _ in range(ROUNDS):
-        named = with_label(open_, labels)
-        sizes = named.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-        mains = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-        mains = C.materialize(mains.select("bucket", "main"), "near-mains")
-        degrees = reduce(DataFrame.unionByName, links).select(F.explode(F.array("a", "b")).alias("digest")).groupBy("digest").agg(F.count("*").alias("degree"))
-        left = C.materialize(named.join(mains, "bucket").join(degrees, "digest", "left").select("bucket", "digest", "label", "main", "degree"), "near-open")
-        C.drop(open_, named, mains)
-        open_ = left
-        who = F.struct("digest", "label")
-        picks = [F.max_by(who, F.struct(F.coalesce("degree", F.lit(0)), "digest"))] + [F.min_by(who, F.struct(F.col("label") != F.col("main"), F.xxhash64("digest", F.lit(k)))) for k in range(LEADERS - 1)]
-        heads = C.materialize(open_.groupBy("bucket").agg(F.array_distinct(F.array(*picks)).alias("heads")), "near-heads")
-        met = open_.join(heads, "bucket").select("digest", F.explode(F.expr("filter(heads, h -> h.label != label)")).alias("head"))
-        more = links_of(met.select(F.least("digest", "head.digest").alias("a"), F.greatest("digest", "head.digest").alias("b")))
-        C.drop(heads)
-        if more.isEmpty():
-            C.drop(more)
-            break
-        links.append(more)
+    # Buckets of several classes: the others meet the text with most links and some texts of its class.
+    degrees = links.select(F.explode(F.array("a", "b")).alias("digest")).groupBy("digest").agg(F.count("*").alias("degree"))
+    named = with_label(labels)
+    who = F.struct("digest", "sketch", "label")
+    picks = [F.min_by(who, F.xxhash64("digest", F.lit(k))) for k in range(LEADERS - 1)]
+    heads = named.join(degrees, "digest", "left").groupBy("bucket").agg(F.max_by(who, F.struct(F.coalesce("degree", F.lit(0)), "digest")).alias("top"), F.array(*picks).alias("picks"), F.min("label").alias("low"), F.max("label").alias("high"))
+    heads = heads.where("low != high").select("bucket", F.col("top.label").alias("main"), F.expr("filter(array_distinct(concat(array(top), picks)), h -> h.label = top.label)").alias("heads"))
+    heads = C.materialize(heads, "near-heads")
+    met = named.join(heads, "bucket").where("label != main").select("digest", "sketch", F.explode("heads").alias("head"))
+    more = links_of(met.select(F.col("head.digest").alias("a"), F.col("head.sketch").alias("sa"), F.col("digest").alias("b"), F.col("sketch").alias("sb")))
+    if not more.isEmpty():
         labels = merged(labels, more)
+    C.drop(links, more, named, heads)
 
     # What then still is in buckets of several classes: texts of different classes that share a rare shingle.
-    named = with_label(open_, labels)
-    still = C.materialize(named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket"), "near-still")
-    texts = C.materialize(named.join(still, "bucket").select("digest", "label").distinct(), "near-rest-texts")
-    C.drop(*links, open_, places, named, still)
+    named = with_label(labels)
+    still = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket")
+    texts = C.materialize(named.select("bucket", "digest", "label").join(still, "bucket").select("digest", "label").distinct(), "near-rest-texts")
+    C.drop(places, named)
     some_sets = C.KeyFilter(texts, "digest").among(sets, "digest")
     rare = _prefixes(some_sets.join(texts.select("digest"), "digest"), rarity, threshold)
     rare = C.materialize(rare.join(texts, "digest").select("shingle", "digest", "label", "short", "w", "rest"), "near-rare")
-    met = C.materialize(rare.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("short").alias("any")).where("low != high and any").select("shingle"), "near-met")
+    met = rare.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("short").alias("any")).where("low != high and any").select("shingle")
     rare_met = C.materialize(rare.join(met, "shingle").select("shingle", "digest", "label", "short", "w", "rest"), "near-rare-met")
-    C.drop(texts, rare, met)
+    C.drop(texts, rare)
     # At the first shingle of both, what is left of either must hold the overlap that the threshold asks for:
     # the other text weighs at most ``room``. Classes, then texts, then pairs are held to this.
     rare = rare_met.withColumn("room", F.col("rest") / (threshold / (1 + threshold) * (1 - 1e-9)) - F.col("w"))
@@ -452,16 +432,16 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
     other = sides.select("shingle", F.col("label").alias("other"), "lightest", "heaviest", "widest")
     across = sides.where("short").select("shingle", "label", "least", "own_room").join(other, "shingle")
     across = across.where("label != other and least <= heaviest and least <= widest and lightest <= own_room").drop("least", "own_room")
-    across = C.materialize(across, "near-across")
     left = rare.where("short").select(F.col("shingle").alias("_s"), F.col("label").alias("_l"), F.col("digest").alias("p"), F.col("w").alias("wp"), F.col("room").alias("room_p"))
     right = rare.select(F.col("shingle").alias("_t"), F.col("label").alias("_o"), F.col("digest").alias("q"), F.col("w").alias("wq"), F.col("room").alias("room_q"))
     some = F.expr("wp <= heaviest and wp <= widest and lightest <= room_p")
     last = across.join(left, (F.col("shingle") == F.col("_s")) & (F.col("label") == F.col("_l")) & some).select("_s", "other", "p", "wp", "room_p")
     last = last.join(right, (F.col("_s") == F.col("_t")) & (F.col("other") == F.col("_o")) & F.expr("wp <= wq and wq <= room_p and wp <= room_q"))
-    last = links_of(last.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")))
+    a, b = (wanted.select(F.col("digest").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab")
+    last = links_of(last.select(F.col("p").alias("a"), F.col("q").alias("b")).distinct().join(a, "a").join(b, "b"))
     if not last.isEmpty():
         labels = merged(labels, last)
-    C.drop(last, rare_met, sides, across, sets, wanted)
+    C.drop(last, rare_met, sides, sets, wanted)
 
     named = signed.select("_id", "_text", "digest").join(labels.toDF("digest", "label"), "digest", "left").select("_id", "_text", F.coalesce("label", "digest").alias("label"))
     members = C.materialize(named, "near-members")
@@ -489,8 +469,7 @@ def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     stays; texts without words all stay. Only rows that may be in a class of several are shuffled."""
     plain, restore = C.stow(docs, ["class_id", "class_size", "keep"])
     found = classes(docs, doc_id=doc_id, text=text, **options)
-    several = C.materialize(found.where("class_size > 1").select(F.col("_id").alias("_i"), F.col("_text").alias("_x"), "keep").distinct(), "near-several")
-    C.drop(found)
+    several = found.where("class_size > 1").select(F.col("_id").alias("_i"), F.col("_text").alias("_x"), "keep").distinct()
     keyed = plain.withColumns({"_own": F.col(doc_id).cast("long"), "_text": F.coalesce(F.xxhash64(text), F.lit(0))})
     told = C.KeyFilter(several, "_i", "_x")
     joined = told.among(keyed, "_own", "_text").join(several, F.col("_own").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_x")), "left")
