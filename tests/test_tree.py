@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from treeledger.functions import matchers, scalars
-from treeledger.operators import diff, duplicates, legacy, merge_rules, planning, series
+from treeledger.operators import diff, duplicates, legacy, merge_rules, planning, renames, series
 from treeledger.plans import queries as plan_queries
 from treeledger.schema import MANIFEST
 from treeledger.sources import messages, tree
@@ -207,3 +207,46 @@ def test_attribute_hash(spark):
     df = spark.createDataFrame([(["user.b", "user.a", "com.apple.macl"], [b"x'", b"\x00", b"q"]), ([], []), (None, None)], "k array<string>, v array<binary>")
     want = __import__("hashlib").sha256(b"[('user.a', '\\x00'), ('user.b', \"x'\")]").hexdigest()
     assert [r[0] for r in df.select(messages.xattr_hash(F.col("k"), F.col("v"))).collect()] == [want, None, None]
+
+
+def test_renames_annotate_and_hide_changes(spark):
+    one = "1" * 64
+    m1 = table(spark, row("file1", sha=one, size=1025), row("dir1", "DIR"))
+    m2 = table(spark, row("dir1", "DIR"), row("ln1", "SYMLINK", link="INVALID"), row("file2", sha=one, size=1025))
+    got = {r.path: (r.code, r.verb, r.duplicates, r.similar, r.renamed) for r in renames.diff_with_renames(m2, m1).collect()}
+    assert got == {"file1": ("*f.delete", "replaced by", 1, 0, True), "file2": (">f+++++++", "replacing", 1, 0, True), "ln1": (">L+++++++", None, 0, 0, False)}
+    assert [r.path for r in renames.diff_with_renames(m2, m1, ignore_renames=True).collect()] == ["ln1"]
+    assert {r.path: r.duplicates for r in renames.new_renames(m1, m2).collect()} == {"file2": 1}
+
+
+def test_swapped_contents_are_found_at_a_checkpoint(spark):
+    a, b = table(spark, row("f8", sha="x"), row("f9", sha="y"), row("t", mtime=1)), table(spark, row("f8", sha="y"), row("f9", sha="x"), row("t", mtime=2))
+    got = {r.path: (r.code, r.verb, r.duplicates) for r in renames.checkpoint_renames(a, b).collect()}
+    assert got == {"f8": (">fc......", "replaced by", 1), "f9": (">fc......", "replaced by", 1), "t": (".f..t....", None, 0)}
+    with_self = {r.path: (r.verb, r.duplicates, r.similar) for r in renames.diff_with_renames(b, a).collect()}
+    assert with_self["t"] == ("replacing", 0, 1)
+
+
+def test_many_candidates_are_counted_without_pairs(spark):
+    m = table(spark, *[row(f"c{i}", mtime=i % 2) for i in range(12)], row("few", sha="z"))
+    got = {r.path: (r.duplicates, r.similar) for r in renames.large_counts(m, m).collect()}
+    assert got == {f"c{i}": (5, 6) for i in range(12)}
+
+
+def test_lines_that_are_no_rule_are_errors():
+    assert merge_rules.parse("a", "# note\n\ninclude /x\nexclude *.o") == [("include", "/a/x"), ("exclude", "*.o")]
+    for bad in ("exclud *.o", "follow-symlinks x", "include"):
+        with pytest.raises(ValueError, match="no rule"):
+            merge_rules.parse("a", bad)
+
+
+def test_malformed_sizes_are_null(spark):
+    cases = {"1.2.3kb": None, "": None, "kb": None, "1.5kb": 1536, "10b": 10, "2gb": 2 << 30, "x": None, "7": None}
+    df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", scalars.size_bytes(F.col("t")).alias("n"))
+    assert {r.t: r.n for r in df.collect()} == cases
+
+
+def test_text_decoding(spark):
+    df = spark.createDataFrame([("a\\#012b\\#303\\x", "⁨p⁩"), ("", None)], "a string, b string")
+    got = df.select(scalars.decode_octal_escapes(F.col("a")).alias("a"), scalars.strip_bidi(F.col("b")).alias("b")).collect()
+    assert [tuple(r) for r in got] == [("a\nbÃ\\x", "p"), ("", None)]

@@ -19,10 +19,22 @@ def size_string(c: Column) -> Column:
 
 def size_bytes(c: Column) -> Column:
     """The inverse: a number and a unit ending in ``b``; null where the text is no size."""
-    number = F.regexp_extract(F.lower(c), r"^([0-9.]+)([kmg]?)b$", 1)
+    number = F.regexp_extract(F.lower(c), r"^([0-9]+(?:\.[0-9]*)?|\.[0-9]+)([kmg]?)b$", 1)
     unit = F.regexp_extract(F.lower(c), r"^([0-9.]+)([kmg]?)b$", 2)
     scale = F.when(unit == "k", 1024).when(unit == "m", 1024**2).when(unit == "g", 1024**3).otherwise(1)
-    return F.when(number != "", (F.expr("try_cast(0 as double)") + number.cast("double")) * scale).cast("long")
+    return (F.nullif(number, F.lit("")).try_cast("double") * scale).try_cast("long")
+
+
+def strip_bidi(c: Column) -> Column:
+    """Without the isolate signs of writing directions (U+2068, U+2069)."""
+    return F.translate(c, "\u2068\u2069", "")
+
+
+def decode_octal_escapes(c: Column) -> Column:
+    """``\\#ooo`` as the character of that octal number."""
+    parts = F.regexp_extract_all(c, F.lit(r"(?s)(\\#[0-7]{3}|.[^\\]*)"), F.lit(1))
+    code = lambda x: F.lpad(F.conv(F.substring(x, 3, 3), 8, 16), 4, "0")
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\\#[0-7]{3}$"), F.decode(F.unhex(code(x)), "UTF-16BE")).otherwise(x)), "")
 
 
 def octal(c: Column) -> Column:

@@ -15,15 +15,18 @@ Rules = list[tuple[str, str]]
 
 
 def parse(directory: str, text: str) -> Rules:
-    """Lines ``include PATTERN`` and ``exclude PATTERN``; a hash starts a comment. A leading slash anchors at
-    the directory of the file."""
+    """Lines ``include PATTERN`` and ``exclude PATTERN``; blank lines and lines that start with a hash say
+    nothing, and any other line is an error. A leading slash anchors at the directory of the file."""
     found: Rules = []
     for line in (text or "").splitlines():
         action, _, pattern = line.partition(" ")
-        if not line.startswith("#") and action in ("include", "exclude"):
-            pattern = pattern.strip()
-            inside = pattern.startswith("/") and directory != "."
-            found.append((action, f"/{directory}{pattern}" if inside else pattern))
+        if not line.strip() or line.startswith("#"):
+            continue
+        if action not in ("include", "exclude") or not pattern.strip():
+            raise ValueError(f"no rule: {line!r} in {directory}")
+        pattern = pattern.strip()
+        inside = pattern.startswith("/") and directory != "."
+        found.append((action, f"/{directory}{pattern}" if inside else pattern))
     return found
 
 

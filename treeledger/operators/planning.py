@@ -75,12 +75,13 @@ def rename_paths(manifest: DataFrame, pattern: str, replacement: str) -> DataFra
 
 def rename_collisions(renamed: DataFrame) -> DataFrame:
     """Renamed rows whose new path another row has: one that stays or comes later in path order, or an
-    earlier one's new path."""
-    moved = renamed.where("path != new_path")
-    taken = renamed.select(F.col("path").alias("p"), F.col("new_path").alias("q"))
-    hit = moved.join(taken, F.col("new_path") == F.col("p"), "left_semi").join(taken.where("p != q").select(F.col("p").alias("free")), (F.col("new_path") == F.col("free")) & (F.col("free") < F.col("path")), "left_anti")
-    twice = moved.join(taken.where("p != q"), (F.col("new_path") == F.col("q")) & (F.col("p") < F.col("path")), "left_semi")
-    return hit.union(twice).distinct()
+    earlier one's new path. Rows are read once: what each place gets, and who is there, meet by the place."""
+    gets = renamed.where("path != new_path").select(F.col("new_path").alias("place"), F.col("path").alias("mover"))
+    there = renamed.select(F.col("path").alias("place"), F.lit(None).cast("string").alias("mover"), F.lit(True).alias("held"), (F.col("path") != F.col("new_path")).alias("leaves"))
+    places = gets.withColumns({"held": F.lit(False), "leaves": F.lit(False)}).unionByName(there).groupBy("place").agg(F.min("mover").alias("first"), F.max("held").alias("held"), F.max("leaves").alias("leaves"))
+    hit = gets.join(places.where("first is not null"), "place")
+    taken = F.col("held") & ~(F.col("leaves") & (F.col("place") < F.col("mover")))
+    return hit.where(taken | (F.col("first") < F.col("mover"))).select(F.col("mover").alias("path"), F.col("place").alias("new_path")).distinct()
 
 
 def ancestor_closure(paths: DataFrame, existing: DataFrame | None = None) -> DataFrame:

@@ -62,15 +62,19 @@ def with_previous(series: DataFrame, snapshots: DataFrame) -> DataFrame:
 
 
 def unique(series: DataFrame, snapshots: DataFrame, *, use_prev: bool = True, use_next: bool = True) -> DataFrame:
-    """Paths of each snapshot that neither neighbour holds without differences."""
-    near = neighbours(snapshots).select("name", "prev", "next")
-    rows = series.select(F.col("snapshot").alias("name"), "path", F.struct(*COLUMNS).alias("n")).join(near, "name")
-    for side, used in (("prev", use_prev), ("next", use_next)):
-        o = series.select(F.col("snapshot").alias(side), "path", F.struct(*COLUMNS).alias("o"), F.lit(True).alias("there"))
+    """Paths of each snapshot that neither neighbour holds without differences. The rows of a path meet once,
+    in the order of their snapshots, of which there are few; the series is read and shuffled once."""
+    near = neighbours(snapshots).select("name", "prev", "next", (F.col("state") == "DONE").alias("done"))
+    rows = series.select(F.col("snapshot").alias("name"), "path", F.struct(*COLUMNS).alias("n")).join(F.broadcast(near), "name")  # one row per snapshot
+    order = W.partitionBy("path").orderBy("name")
+    held = F.when(F.col("done"), F.struct("name", "n"))
+    rows = rows.withColumns({"before": F.last(held, True).over(order.rowsBetween(W.unboundedPreceding, -1)), "after": F.first(held, True).over(order.rowsBetween(1, W.unboundedFollowing))})
+    for side, at, used in (("prev", "before", use_prev), ("next", "after", use_next)):
         if used:
-            rows = rows.join(o, [side, "path"], "left").withColumn("there", F.coalesce("there", F.lit(False)))
+            there = F.coalesce(F.col(f"{at}.name") == F.col(side), F.lit(False))
+            rows = rows.withColumns({"there": there, "o": F.when(there, F.col(f"{at}.n"))})
             rows = rows.withColumns(itemize.flags("n", "o", F.lit(True), F.col("there"))).where(itemize.has_diffs())
-            rows = rows.select("name", "path", "n", "prev", "next")
+            rows = rows.select("name", "path", "n", "prev", "next", "before", "after")
     return rows.select(F.col("name").alias("snapshot"), "path", F.col("n.path_type").alias("path_type"), F.coalesce("n.size", F.lit(0)).alias("size"))
 
 

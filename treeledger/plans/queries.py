@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import itemize, matchers, scalars
-from ..operators import diff, duplicates, legacy, merge_rules, planning, series
+from ..operators import diff, duplicates, legacy, merge_rules, planning, renames, series
 from ..sources import messages
 from . import fixtures as X
 
@@ -174,6 +174,36 @@ _add("restore_mtimes", _two(lambda a, b: planning.restore_mtimes(b, a)), "SELECT
 _add("manifest_duplicate_keys", _one(diff.check_unique), "SELECT path, count(*) AS n FROM m2 GROUP BY path HAVING count(*) > 1")
 _add("inode_reuse", _one(lambda m: planning.reuse_hashes(m.select("path", F.lit(1).alias("dev"), F.xxhash64("sha256").alias("ino"), F.lit(None).cast("string").alias("sha256")).where("path_type = 'FILE'"), m.where("sha256 is not null").select(F.lit(1).alias("dev"), F.xxhash64("sha256").alias("ino"), "sha256")).select("path", "sha256", "hit")), "SELECT path, sha256, sha256 IS NOT NULL AS hit FROM m2 WHERE path_type = 'FILE'")
 
+# --- changes with renames ------------------------------------------------------------------------------
+
+_EQUAL = " AND ".join(f"c.{x} IS NOT DISTINCT FROM s.{x}" for x in ("mode", "mtime", "size", "link_dest", "xattr_hash"))
+
+
+def _renames_sql(new: str, gone: str, order: str) -> str:
+    """Changed rows with the numbers of files of equal content in m1 (for ``new``) or m2 (for ``gone``)."""
+    asked = {"n": f"({new}) AND s.path_type = 'FILE' AND s.size >= 1", "o": f"({gone}) AND s.path_type = 'FILE' AND s.size >= 1"}
+    found = " UNION ALL ".join(
+        f"""SELECT j.path, '{verb}' AS verb, count(c.path) FILTER ({_EQUAL}) AS duplicates, count(c.path) FILTER (NOT ({_EQUAL})) AS "similar"
+  FROM j JOIN {own} s ON s.path = j.path LEFT JOIN {other} c ON c.sha256 = s.sha256 AND c.path_type = 'FILE' AND c.size >= 1 WHERE changed AND {asked[side]} GROUP BY j.path"""
+        for side, own, other, verb in (("n", "m2", "m1", "replacing"), ("o", "m1", "m2", "replaced by"))
+    )
+    return _J + f""", f0 AS ({found}), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY verb {order}) AS k FROM f0) WHERE k = 1),
+rn AS (SELECT j.path, j.code, f.verb, coalesce(f.duplicates, 0) AS duplicates, coalesce(f."similar", 0) AS "similar", j.severity FROM j LEFT JOIN f ON f.path = j.path WHERE changed)
+SELECT path, code, verb, duplicates, "similar", duplicates > 0 AS renamed, duplicates + "similar" < 10 AS ranked, CASE WHEN duplicates > 0 THEN 'purple' ELSE severity END AS severity FROM rn"""
+
+
+_add("diff_with_renames", _two(lambda a, b: renames.diff_with_renames(b, a)), _renames_sql("in_new", "delete_path", "DESC"))
+_add("diff_ignore_renames", _two(lambda a, b: renames.diff_with_renames(b, a, ignore_renames=True)), _renames_sql("in_new", "delete_path", "DESC") + " WHERE duplicates = 0")
+_add("checkpoint_renames", _two(renames.checkpoint_renames), _renames_sql("new_path", "delete_path OR checksum_diff", "DESC"))
+_add("sync_new_renames", _two(renames.new_renames), _renames_sql("new_path", "false", "DESC") + " WHERE verb IS NOT NULL")
+_add("dup_counts_large", _two(lambda a, b: renames.large_counts(b, a)), _pairs_sql("m2", "m1") + 'SELECT * FROM (SELECT path, count(*) FILTER (duplicate) AS duplicates, count(*) FILTER (NOT duplicate) AS "similar" FROM q GROUP BY path) WHERE duplicates + "similar" >= 10')
+_add("strip_bidi", _one(lambda m: m.select("path", scalars.strip_bidi(F.concat(F.lit("\u2068"), "path", F.lit("\u2069"))).alias("plain"))), "SELECT path, path AS plain FROM m2")
+_add("octal_escapes", _one(lambda m: m.select("path", scalars.decode_octal_escapes(F.concat(F.replace("path", F.lit("/"), F.lit("\\#057")), F.lit("\\#012\\x"))).alias("decoded"))), r"SELECT path, path || chr(10) || '\x' AS decoded FROM m2")
+_LINKED = ["link", "link-to-duplicate"]
+_add("checksum_scope", _two(lambda a, b: planning.copy_plan(b, a).where("link_to is null").select("path")), f", z AS ({ORACLE_SQL['copy_plan']}) SELECT path FROM z WHERE link_to IS NULL")
+_add("copy_stats", _two(lambda a, b: planning.copy_plan(b, a).agg(F.count("*").alias("copied"), F.count_if(F.col("action").isin(_LINKED)).alias("hard_linked"), F.count_if(F.col("action") == _LINKED[1]).alias("linked_elsewhere"))),
+     f", z AS ({ORACLE_SQL['copy_plan']}) SELECT count(*) AS copied, count(*) FILTER (action IN ('link', 'link-to-duplicate')) AS hard_linked, count(*) FILTER (action = 'link-to-duplicate') AS linked_elsewhere FROM z")
+
 # --- series ------------------------------------------------------------------------------------------------
 
 _NEAR = """,
