@@ -159,7 +159,7 @@ class ChunkEncoder:
 
     LONGEST = 64
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.known, self.old = Tokenizer.from_file(path), most, {}, {}
